@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass handles; a single longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -60,7 +61,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     if n == 0:
         return
     col = batch.column(batch.schema.get_field_index(column))
-    size = np.asarray(pa.compute.binary_length(col).fill_null(0)).astype(np.int64)
+    size = np.asarray(pc.binary_length(col).fill_null(0)).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
     if total[-1] <= limit:
         yield batch
