@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import canonical, chunking
+from leafmill.llm import bpe, canonical, chunking, mixing
 from leafmill.sources import table
 
 
@@ -26,5 +27,23 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_form(canonical.rows_of(table(spark, d, "pages"), table(spark, d, "marks"))).drop("text")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose decoded ids are not their text: none."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("was"))
+    return bpe.decode(bpe.encode(docs)).where(F.xxhash64("text") != F.col("was")).select("doc_id")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
