@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, canonical, chunking, mixing
+from leafmill.llm import bpe, canonical, chunking, language, mixing
 from leafmill.sources import table
 
 
@@ -27,6 +27,15 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_form(canonical.rows_of(table(spark, d, "pages"), table(spark, d, "marks"))).drop("text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "pages"), table(spark, d, "lang_samples"))
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("row_id", F.col("lang").alias("label"), "text")
+    return language.segments(pages, language.model_of(table(spark, d, "lang_samples")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
