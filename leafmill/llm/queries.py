@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, canonical, chunking, language, mixing
+from leafmill.llm import bpe, canonical, chunking, language, mixing, spans
 from leafmill.sources import table
 
 
@@ -54,5 +54,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.found(table(spark, d, "documents"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.passages(table(spark, d, "documents"))
+
+
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
