@@ -38,7 +38,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.cumprod(np.concatenate([[1], np.full(max(n, 1 << 20) - 1, base, np.uint64)]).astype(np.uint64))
+        have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20) - 1, base, np.uint64)]))
         _powers[base] = have
     return have[:n]
 

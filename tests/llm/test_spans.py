@@ -88,3 +88,11 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 6)
     assert {tuple(r) for r in S.found(df).collect()} == want
     assert S.found(df.limit(0)).count() == 0 and S.shared(df.limit(0)).count() == 0
+
+
+def test_fingerprints_differ():
+    random.seed(8)
+    texts = ["".join(random.choice("abcdefgh ") for _ in range(2000)) for _ in range(20)]
+    row, fp, pos = S.fingerprints(*to_codepoints(pa.array(texts)))
+    assert len(np.unique(fp)) == len(fp) > 20 * 20
+    assert all(np.diff(pos[row == i]).max() <= 121 for i in range(20))
