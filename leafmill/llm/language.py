@@ -208,10 +208,15 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> Model:
     return model
 
 
-def model_of(samples: DataFrame) -> Model:
-    """The model of a table (lang, text); at most MAX_SAMPLES rows are taken, rows without either are left out."""
+def samples_of(samples: DataFrame) -> list[tuple[str, str]]:
+    """(lang, text) of a table of labelled samples; at most MAX_SAMPLES rows are taken, rows without either are left out."""
     rows = samples.where("lang is not null and text is not null").select("lang", "text").limit(MAX_SAMPLES).collect()
-    return train([(r.lang, r.text) for r in rows])
+    return [(r.lang, r.text) for r in rows]
+
+
+def model_of(samples: DataFrame) -> Model:
+    """The model of a table of labelled samples."""
+    return train(samples_of(samples))
 
 
 def sentences(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, canonical, chunking, language, mixing, spans
+from leafmill.llm import bpe, canonical, chunking, language, mixing, pairs, spans
 from leafmill.sources import table
 
 
@@ -27,6 +27,14 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_form(canonical.rows_of(table(spark, d, "pages"), table(spark, d, "marks"))).drop("text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "messages"), table(spark, d, "lang_samples"))
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.flag(table(spark, d, "messages"), table(spark, d, "lang_samples"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "pages"), table(spark, d, "lang_samples"))
 
