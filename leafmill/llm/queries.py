@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, canonical, chunking, language, mixing, pairs, spans
+from leafmill.llm import bpe, canonical, chunking, language, mixing, pairs, scans, spans
 from leafmill.sources import table
 
 
@@ -44,6 +44,10 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(pages, language.model_of(table(spark, d, "lang_samples")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "pages"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
