@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as scripts in browsers have it; valid inside a class in Java and RE2 patterns.
 SPACE = " \t\n\r\f\v\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -22,7 +23,7 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Composed form; null stays null."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

@@ -52,7 +52,7 @@ def section_ranges(outline: DataFrame) -> DataFrame:
     nxt = [F.first(F.when(F.col("level") <= k, F.col("page")), ignorenulls=True).over(w) for k in range(1, 7)]
     by_level = F.element_at(F.array(*nxt), F.least(F.greatest("level", F.lit(1)), F.lit(6)))
     total = F.col("total")
-    end = F.coalesce(F.greatest(F.col("page"), by_level - 1), F.when(total > 0, total), F.col("page"))
+    end = F.coalesce(F.when(by_level.isNotNull(), F.greatest(F.col("page"), by_level - 1)), F.when(total > 0, total), F.col("page"))
     end = F.greatest(F.col("page"), F.when(total > 0, F.least(end, total)).otherwise(end))
     past = (total > 0) & (F.col("page") > total)
     return outline.withColumn("e", end).select("path", "ord", "title", F.when(~past, F.col("page")).alias("start_page"), F.when(~past, F.col("e")).alias("end_page"))

@@ -124,11 +124,11 @@ def running_line_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("strip_running_lines", f"""WITH {CP}, {_LIVE}, {_EDGES},
-a AS (SELECT cp.path, cp.page, cp.text, string_split(cp.text, chr(10)) AS ls, l.live FROM cp LEFT JOIN l ON cp.path = l.path AND cp.page = l.page),
-b AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: length({_trim("ls[i]")}) > 0) AS at FROM a),
-c AS (SELECT *, coalesce(len(at) >= 3 AND NOT regexp_matches(ls[at[1]], '^[ \\t]*[#|]') AND EXISTS (FROM k WHERE k.path = b.path AND pos = 'first' AND key = lower({_clean("b.ls[b.at[1]]")})), false) AS h,
-coalesce(len(at) >= 3 AND NOT regexp_matches(ls[at[-1]], '^[ \\t]*[#|]') AND EXISTS (FROM k WHERE k.path = b.path AND pos = 'last' AND key = lower({_clean("b.ls[b.at[-1]]")})), false) AS f FROM b)
-SELECT path, page, CASE WHEN h OR f THEN {_trim("array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT ((h AND i = at[1]) OR (f AND i = at[-1]))], chr(10))")} ELSE text END AS text FROM c""")
+a AS (SELECT path, page, text, string_split(text, chr(10)) AS ls FROM cp),
+b AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: length({_trim("ls[i]")}) > 0) AS nz FROM a),
+c AS (SELECT *, CASE WHEN len(nz) >= 3 AND NOT regexp_matches(ls[nz[1]], '^[ \\t]*[#|]') THEN lower({_clean("ls[nz[1]]")}) END AS hk, CASE WHEN len(nz) >= 3 AND NOT regexp_matches(ls[nz[-1]], '^[ \\t]*[#|]') THEN lower({_clean("ls[nz[-1]]")}) END AS fk FROM b),
+d AS (SELECT c.*, x.key IS NOT NULL AS h, y.key IS NOT NULL AS f FROM c LEFT JOIN k x ON x.path = c.path AND x.pos = 'first' AND x.key = c.hk LEFT JOIN k y ON y.path = c.path AND y.pos = 'last' AND y.key = c.fk)
+SELECT path, page, CASE WHEN h OR f THEN {_trim("array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT ((h AND i = nz[1]) OR (f AND i = nz[-1]))), lambda i: ls[i]), chr(10))")} ELSE text END AS text FROM d""")
 def strip_running_lines(spark: SparkSession, d: str) -> DataFrame:
     return P.strip_running(current(spark, d, ["text"]))
 
@@ -166,8 +166,8 @@ def resolved_outline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("section_ranges", f"""WITH {_TOT}, {_USE}, e AS (SELECT *, (SELECT arg_min(b.page, b.ord) FROM us b WHERE b.path = a.path AND b.ord > a.ord AND b.level <= a.level) AS nxt FROM us a)
-SELECT path, ord, title, page AS start_page, greatest(page, CASE WHEN total > 0 THEN least(coalesce(greatest(page, nxt - 1), total), total) ELSE coalesce(greatest(page, nxt - 1), page) END) AS end_page FROM
-(SELECT path, ord, title, page, total, CASE WHEN nxt IS NULL THEN NULL ELSE nxt END AS nxt FROM e)""")
+SELECT path, ord, title, page AS start_page, greatest(page, CASE WHEN total > 0 THEN least(coalesce(n, total), total) ELSE coalesce(n, page) END) AS end_page FROM
+(SELECT *, CASE WHEN nxt IS NOT NULL THEN greatest(page, nxt - 1) END AS n FROM e)""")
 def section_ranges(spark: SparkSession, d: str) -> DataFrame:
     return O.section_ranges(usable(spark, d))
 
