@@ -48,6 +48,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found(table(spark, d, "pages"))
 
 
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "pages"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
