@@ -103,8 +103,9 @@ def _plan(counted: DataFrame, targets: DataFrame, total: int | None, seed: int)
     rows.sort(key=lambda r: r.source)
     n = counted.count()
     buckets = min(MAX_BUCKETS, max(1, math.ceil(n / BUCKET_ROWS)))
-    sums = counted.groupBy("source", _bucket(buckets, seed).alias("bucket")).agg(F.sum("n_tokens").alias("t")).toPandas()
-    sums = sums[sums.source.isin([r.source for r in rows])].sort_values(["source", "bucket"]).reset_index(drop=True)
+    # At most MAX_SOURCES x MAX_BUCKETS rows.
+    sums = counted.join(F.broadcast(want.select("source")), "source", "left_semi").groupBy("source", _bucket(buckets, seed).alias("bucket")).agg(F.sum("n_tokens").alias("t")).toPandas()
+    sums = sums.sort_values(["source", "bucket"]).reset_index(drop=True)
     sums["offset"] = sums.groupby("source").t.cumsum() - sums.t
     total_of = sums.groupby("source").t.sum()
     names = [r.source for r in rows]
