@@ -63,21 +63,17 @@ def densest(pages: DataFrame, k: int = DENSEST) -> DataFrame:
 
 def survey(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """Per path: pages, characters, need of chunking, and unindexed, densest, table and marked pages as ranges ('' if none)."""
-    base = pages.groupBy("path").agg(
-        F.count("*").alias("total_pages"),
-        F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("total_chars"),
-        F.count_if(text_chars() < MIN_TEXT_CHARS).alias("unindexed_count"),
-    )
-    parts = [
-        ranges(sparse(pages, None), out="unindexed_pages"),
-        ranges(densest(pages), out="densest_pages"),
-        ranges(pages.where(F.contains("text", F.lit("|---"))), out="table_pages"),
-        ranges(marks, out="marked_pages"),
-    ]
-    for p in parts:
-        base = base.join(p, "path", "left")
     names = ["unindexed_pages", "densest_pages", "table_pages", "marked_pages"]
-    return base.select("path", "total_pages", "total_chars", (F.col("total_chars") > CHUNK_CHARS).alias("needs_chunking"), "unindexed_count", *[F.coalesce(n, F.lit("")).alias(n) for n in names])
+    # Texts end here: all that follows works on sizes and flags, in one pass for all kinds of range.
+    sized = pages.select("path", "page", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), (text_chars() < MIN_TEXT_CHARS).alias("sparse"), F.contains("text", F.lit("|---")).alias("table"))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("chars"), "page"))
+    ranked = sized.withColumn("dense", rank <= DENSEST)
+    base = ranked.groupBy("path").agg(F.count("*").alias("total_pages"), F.sum("chars").alias("total_chars"), F.count_if("sparse").alias("unindexed_count"))
+    kinds = F.array_compact(F.array(*[F.when(F.col(c), F.lit(k)) for c, k in (("sparse", 0), ("dense", 1), ("table", 2))]))
+    each = ranked.select("path", "page", F.explode(kinds).alias("kind")).unionByName(marks.select("path", "page", F.lit(3).alias("kind"))).where("path is not null")
+    found = ranges(each.select(F.struct("path", "kind").alias("k"), "page"), "k")
+    wide = found.groupBy(F.col("k.path").alias("path")).agg(*[F.max(F.when(F.col("k.kind") == i, F.col("pages"))).alias(n) for i, n in enumerate(names)])
+    return base.join(wide, "path", "left").select("path", "total_pages", "total_chars", (F.col("total_chars") > CHUNK_CHARS).alias("needs_chunking"), "unindexed_count", *[F.coalesce(n, F.lit("")).alias(n) for n in names])
 
 
 def better_text(a: Column, b: Column, a_source: Column, b_source: Column) -> Column:
