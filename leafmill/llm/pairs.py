@@ -27,6 +27,8 @@ from leafmill.plans import cut
 #: Sound pairs that training takes at most.
 TRAIN_PAIRS = 1200
 HASH = 1 << 15
+#: Distinct n-grams from which on each keeps its weight.
+FULL = 60
 SEQ_BUCKET = 1024
 SEED = 3
 LABELS = ("truncated", "refusal", "copy", "language")
@@ -89,6 +91,7 @@ ECHOES = ["You asked: ", "Your question: ", "Question: ", "Sie fragen: ", "Ihre
 
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|「[^」]*」|\"[^\"\n]*\"|(?m:^>.*$)")
 _WORDS = re.compile(r"[㐀-鿿]|[^\W\d_]+|\d+")
+_BRACKETS = re.compile(r"[()（）]")
 _CLOSERS = "*_`\"'”’»)]}）】」』 \n\t~​‌‍⁠﻿"
 _ENDS = ".!?。！？…"
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)]|#{1,6}|\|)\s?")
@@ -135,6 +138,14 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=4).digest(), "little") % HASH
 
 
+def _open(a: str) -> bool:
+    """Whether a bracket is left open; closing ones that nothing opened, as in `1)`, close nothing."""
+    depth = 0
+    for c in _BRACKETS.findall(a):
+        depth = depth + 1 if c in "(（" else max(0, depth - 1)
+    return depth > 0
+
+
 def _dense(q: str, a: str, lq: np.ndarray, la: np.ndarray, langs: list[str]) -> list[float]:
     body = a.rstrip(_CLOSERS)
     tail = a.rstrip(" \n\t​‌‍⁠﻿")
@@ -142,7 +153,7 @@ def _dense(q: str, a: str, lq: np.ndarray, la: np.ndarray, langs: list[str]) ->
     line = tail.rsplit("\n", 1)[-1]
     item = bool(_ITEM.match(line))
     ended = last in _ENDS
-    opened = tail[-300:].count("(") + tail[-300:].count("（") > tail[-300:].count(")") + tail[-300:].count("）")
+    opened = _open(tail)
     quoted = tail.count("“") > tail.count("”")
     bold = tail.count("**") % 2 == 1
     fence = a.count("```") % 2 == 1
@@ -169,10 +180,11 @@ DENSE = 26
 
 
 def _sparse(a: str) -> np.ndarray:
+    """Hashed n-grams of all words of the answer, and again, under a tag, those of its last words: there the place matters."""
     w = _WORDS.findall(a.lower())
     w = ["0" if x.isdigit() else x for x in w]
     out = set()
-    for tag, part in (("", w[:36]), ("", w[-24:])):
+    for tag, part in (("", w), ("", w[-24:])):
         out.update(_hash(tag + x) for x in part)
         out.update(_hash(tag + x + " " + y) for x, y in zip(part, part[1:], strict=False))
         out.update(_hash(tag + x + " " + y + " " + z) for x, y, z in zip(part, part[1:], part[2:], strict=False))
@@ -187,15 +199,19 @@ class Matrix:
     grams: np.ndarray
     edge: np.ndarray
 
+    def _weight(self) -> np.ndarray:
+        """The weight of a row's n-grams; it falls no further past FULL of them, so that a phrase counts in long answers too."""
+        return 1 / np.sqrt(np.clip(np.diff(self.edge), 1, FULL))
+
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
-        weight = 1 / np.sqrt(np.maximum(np.diff(self.edge), 1))
+        weight = self._weight()
         total = np.concatenate([np.zeros((1, w.shape[1]), np.float32), np.cumsum(w[DENSE + self.grams], 0, dtype=np.float64)])
         return self.dense @ w[:DENSE] + (total[self.edge[1:]] - total[self.edge[:-1]]) * weight[:, None]
 
     def gradient(self, error: np.ndarray) -> np.ndarray:
         """The product of the transposed matrix with `error`."""
         size = np.diff(self.edge)
-        spread = error / np.sqrt(np.maximum(size, 1))[:, None]
+        spread = error * self._weight()[:, None]
         out = np.empty((DENSE + HASH, error.shape[1]))
         out[:DENSE] = self.dense.T @ error
         for k in range(error.shape[1]):
@@ -288,6 +304,21 @@ def make(rows: list[tuple[str, str]], langs: list[str], codes: list[str], rng: n
     return out
 
 
+def make_long(rows: list[tuple[str, str]], langs: list[str], rng: np.random.Generator) -> list[tuple[str, str, int]]:
+    """Refusals that talk round the subject at any length before and after they refuse, and sound answers as long."""
+    out = []
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    # Answers of whole sentences: an open end in the middle of a made answer would teach that open ends are sound.
+    whole = [a.rstrip()[-1:] in _ENDS and "```" not in a for _, a in rows]
+    for i, (q, a) in enumerate(rows):
+        if (lang := langs[i]) in REFUSALS and whole[i]:
+            same = [rows[int(k)][1] for k in rng.integers(len(rows), size=8) if langs[k] == lang and whole[k]]
+            round_ = [" ".join([pick(ECHOES) + q, *same[: len(same) // 2]]), " ".join(same[len(same) // 2 :] or [q])]
+            out.append((q, f"{round_[0]} {''.join(pick(p) for p in REFUSALS[lang])} {round_[1]}", 1))
+            out.append((q, f"{round_[0]} {a} {round_[1]}", -1))
+    return out
+
+
 def adapted(samples: list[tuple[str, str]], sample: list[tuple[str, str]]) -> language.Model:
     """A language model that also knows prompts and short answers: trained again on `samples` and on short texts of the pairs, under the language of the prompt."""
     first = language.train(samples)
@@ -310,7 +341,7 @@ def train(sample: list[tuple[str, str]], lang: language.Model, seed: int = SEED)
     for _ in range(2):
         kept = [r for r, ok in zip(rows, sound, strict=True) if ok]
         codes = [lang.langs[i] for i in _lang(lang, [_QUOTED.sub(" ", a) for _, a in kept]).argmax(1)]
-        made = [(q, a, -1) for q, a in kept] + make(kept, codes, lang.langs, rng)
+        made = [(q, a, -1) for q, a in kept] + make(kept, codes, lang.langs, rng) + make_long(kept, codes, np.random.default_rng(seed + 1))
         y = np.zeros((len(made), len(LABELS)), np.float32)
         for i, (_, _, k) in enumerate(made):
             if k >= 0:

@@ -59,3 +59,17 @@ def test_held_out(clean):
     right = [(P.LABELS[k] if k >= 0 else None) == g for (_, _, k), g in zip(made, got, strict=True)]
     assert np.mean(right) > 0.93
     assert c.name([("q", ""), ("q", " \n​")]) == ["empty", "empty"]
+
+
+def test_middle_of_long_answers(clean):
+    """Every word of an answer counts, and a bracket opened anywhere."""
+    head, end = " ".join(f"word{chr(97 + i % 26)} starts" for i in range(40)), " ".join(f"sign{chr(97 + i % 26)} ends" for i in range(40))
+    plain, other = P._sparse(f"{head} {end}"), P._sparse(f"{head} I cannot help with that {end}")
+    assert set(other) - set(plain)
+    assert {P._hash(x) for x in ("cannot", "i cannot", "i cannot help")} <= set(other)
+    assert P._open(f"see (section 3 {head}") and not P._open(f"1) see (section 3) {head}") and P._open("1) see (section 3")
+    rows, samples = clean
+    lang = P.language.train(samples)
+    made = P.make_long(rows[:60], ["en"] * 60, np.random.default_rng(2))
+    assert {k for *_, k in made} == {1, -1} and any(len(a.split()) > 60 for _, a, k in made if k == 1)
+    assert P.features([("q", f"({head} {end}")], lang).dense[0, 5] == 1
