@@ -266,8 +266,10 @@ def corrections(words: DataFrame, common: dict[str, int], chars: Characters, ran
     posted = words.withColumn("sk", sk).withColumn("grams", F.slice(F.array_sort(F.array_distinct(grams)), 1, 2)).select("word", "n", F.xxhash64(F.length("sk"), "grams").alias("post"), "sk")
     s = posted.select(F.col("word").alias("s"), F.col("n").alias("ns"), "post", "sk")
     t = posted.where("n >= 2 and not word rlike '[0-9]'").select(F.col("word").alias("t"), F.col("n").alias("nt"), "post", F.col("sk").alias("st"))
-    met = s.join(t, "post").where("sk = st and s <> t and nt >= 3 * ns").groupBy("s").agg(F.first("ns").alias("ns"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("nt")).alias("m"), "t"))), 1, 8).alias("c"))
-    both = words.select(F.col("word").alias("s"), F.col("n").alias("n0")).join(met, "s", "left").where("c is not null or s rlike '[0-9]' or n0 <= 3").select("s", "n0", "c")
+    # One row for each form and candidate, however many there are, and one for each form to be tried alone.
+    met = s.join(t, "post").where("sk = st and s <> t and nt >= 3 * ns").select("s", F.col("ns").alias("n0"), "t", "nt")
+    alone = words.where("word rlike '[0-9]' or n <= 3").select(F.col("word").alias("s"), F.col("n").alias("n0"), F.lit(None).cast("string").alias("t"), F.lit(0).cast("long").alias("nt"))
+    both = met.unionByName(alone)
     shared = words.sparkSession.sparkContext.broadcast((common, chars, ranker))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,21 +277,21 @@ def corrections(words: DataFrame, common: dict[str, int], chars: Characters, ran
         for df in frames:
             rows: list[tuple[str, int, str, int]] = []
             plaus = chars.score(df.s.tolist())
-            for s, n, c, p in zip(df.s, df.n0, df.c, plaus, strict=True):
-                if c is not None and len(c):
-                    rows += [(s, int(n), x["t"], -int(x["m"])) for x in c if mistakes(s, x["t"])]
-                if len(s) > 2 and (any(ch.isdigit() for ch in s) or (n <= 3 and p < -2.6)) and s not in common and len(s) <= 24:
+            for s, n, t, nt, p in zip(df.s, df.n0, df.t, df.nt, plaus, strict=True):
+                if t is not None:
+                    if mistakes(s, t):
+                        rows.append((s, int(n), t, int(nt)))
+                elif len(s) > 2 and (any(ch.isdigit() for ch in s) or (n <= 3 and p < -2.6)) and s not in common and len(s) <= 24:
                     rows += [(s, int(n), v, common.get(v, 0)) for v in variants(s)]
             if not rows or ranker is None:
                 continue
             score = ranker.score(_rank_features(chars, rows))
-            out = pd.DataFrame({"word": [r[0] for r in rows], "fix": [r[2] for r in rows], "score": score})
-            # Of the likely candidates the most frequent: others may be mistakes of it themselves.
-            out["known"] = [r[3] for r in rows]
-            out = out[out.score > 0].sort_values(["word", "known", "score", "fix"], ascending=[True, False, False, True]).drop_duplicates("word")
-            yield out[["word", "fix", "score"]]
+            out = pd.DataFrame({"word": [r[0] for r in rows], "fix": [r[2] for r in rows], "score": score, "known": [r[3] for r in rows]})
+            yield out[out.score > 0]
 
-    return both.mapInPandas(run, "word string, fix string, score double").groupBy("word").agg(F.max_by("fix", F.struct("score", "fix")).alias("fix"), F.max("score").alias("score"))
+    # Of the likely candidates the most frequent: others may be mistakes of it themselves.
+    best = F.max_by("fix", F.struct("known", "score", "fix"))
+    return both.mapInPandas(run, "word string, fix string, score double, known long").groupBy("word").agg(best.alias("fix"), F.max_by("score", F.struct("known", "score", "fix")).alias("score"))
 
 
 def pair_features(a: str, b: str, blank: bool, common: dict[str, int], width: int) -> list[float]:

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -84,3 +86,18 @@ def test_skeletons_agree(spark):
 
     got = {r.word: r.fix for r in S.corrections(df, common, S.Characters(common), frequent).collect()}
     assert {w: got.get(w) for w in wrong} == dict(zip(wrong, right, strict=True))
+
+
+def test_no_candidate_is_cut(spark):
+    """A form meets its right word though more than eight frequent words of its skeleton can't have become it."""
+    pool = ["".join(x) for x in itertools.product("il", repeat=6)]
+    wrong = "1" + "i" * 5
+    twins = [w for w in pool if S.mistakes(wrong, w) is None]
+    right = next(w for w in pool if S.mistakes(wrong, w))
+    assert len(twins) > 8 and all(S.skeleton(w) == S.skeleton(wrong) for w in twins)
+    df = spark.createDataFrame([(w, 5000) for w in twins] + [(right, 500), (wrong, 1)], "word string, n long")
+    bins = [np.zeros(0)] * 13
+    bins[1] = np.array([3.0])
+    frequent = boosting.Boosted(bins, [(np.array([1]), np.array([0]), np.array([-1.0, 1.0]))], 0.0)
+    got = {r.word: r.fix for r in S.corrections(df, {}, S.Characters({w: 5000 for w in twins}), frequent).collect()}
+    assert got[wrong] == right
