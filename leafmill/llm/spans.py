@@ -28,7 +28,9 @@ MIN_SPAN = 240
 GRAM = 120
 #: Fragments of one fingerprint in a block, and characters aimed at in a shard.
 BLOCK = 1500
-SHARD_CHARS = 1 << 20
+SHARD_CHARS = 1 << 19
+#: Partitions of the shards at most; more shards share them.
+MOST_PARTITIONS = 1 << 14
 #: A fingerprint with more than this share of all places is joined by itself; there are fewer than 1 / HEAVY of them.
 HEAVY = 1 / 4096
 
@@ -129,13 +131,14 @@ def _fragments(documents: DataFrame, meeting: DataFrame) -> DataFrame:
     classes = meeting.groupBy("fp", "cls").agg(F.min(F.struct("doc_id", "pos")).alias("rep"), F.max("doc_id").alias("b"))
     classes = cut(classes.select("fp", "cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.pos").alias("pos"), "b"))
     shards = max(1, -(-classes.count() * (2 * MIN_SPAN - GRAM) // SHARD_CHARS))
+    parts = min(shards, MOST_PARTITIONS)  # given, for shards of few bytes are long work
     start = f"greatest(pos - {MIN_SPAN - GRAM}, 0)"
     fetched = documents.join(classes, "doc_id").select("fp", "cls", F.col("doc_id").alias("a"), "b", F.expr(f"pos - {start}").alias("at"), F.expr(f"substring(text, {start} + 1, pos + {MIN_SPAN} - {start})").alias("text"))
     many = cut(classes.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("fp"))
     out = ["shard", "fp", "cls", "a", "b", "text"]
     usual = F.pmod(F.xxhash64("fp"), F.lit(shards))
     if many.isEmpty():
-        return fetched.withColumn("shard", usual).select(*out)
+        return fetched.withColumn("shard", usual).select(*out).repartition(parts, "shard")
     # A span of MIN_SPAN characters with the gram in it holds half of the rest before or behind the
     # gram, so fragments that share one agree in that half: they meet under it. What is still too
     # many is split into blocks, and each pair of blocks is a shard.
@@ -150,7 +153,7 @@ def _fragments(documents: DataFrame, meeting: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
     dealt = keyed.join(sizes, "key").withColumn("mine", mine).withColumn("pair", F.explode(pairs)).withColumn("fp", F.xxhash64("key", "pair"))
     # The fragments of small halves share a shard, as those of small fingerprints do.
-    return fetched.join(many, "fp", "left_anti").withColumn("shard", usual).select(*out).unionByName(dealt.withColumn("shard", usual).select(*out))
+    return fetched.join(many, "fp", "left_anti").withColumn("shard", usual).select(*out).unionByName(dealt.withColumn("shard", usual).select(*out)).repartition(parts, "shard")
 
 
 def _levels(fp: np.ndarray, entry: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
