@@ -10,13 +10,14 @@ language, or replaced by a refusal. Thresholds are calibrated on made pairs held
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +92,7 @@ ECHOES = ["You asked: ", "Your question: ", "Question: ", "Sie fragen: ", "Ihre
 
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|「[^」]*」|\"[^\"\n]*\"|(?m:^>.*$)")
 _WORDS = re.compile(r"[㐀-鿿]|[^\W\d_]+|\d+")
+_DIGITS = re.compile(r"\d+")
 _BRACKETS = re.compile(r"[()（）]")
 _CLOSERS = "*_`\"'”’»)]}）】」』 \n\t~​‌‍⁠﻿"
 _ENDS = ".!?。！？…"
@@ -126,16 +128,50 @@ def pairs(messages: DataFrame) -> DataFrame:
 def _lang(model: language.Model, texts: list[str]) -> np.ndarray:
     """Log-probabilities of the languages of whole texts; a flat row for texts without letters."""
     cp, at = to_codepoints(pa.array(texts, pa.string()))
-    ts, te, _ = language.tokens(cp, at[:-1])
+    ts, te, th = language.tokens(cp, at[:-1])
     k = len(model.langs)
     sums = np.zeros((len(texts), k + 1))
     if len(ts):
-        np.add.at(sums, np.searchsorted(at, ts, "right") - 1, model.words(cp, ts, te))
+        # Words are scored once each, however often they return.
+        _, index, inverse = np.unique(th, return_index=True, return_inverse=True)
+        per_word, row = model.words(cp, ts[index], te[index]), np.searchsorted(at, ts, "right") - 1
+        sums = np.stack([np.bincount(row, per_word[inverse, j], len(texts)) for j in range(k + 1)], 1)
     return model.log_probs(sums)
 
 
-def _hash(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=4).digest(), "little") % HASH
+_hashes: dict[str, int] = {}
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts on end, and the offsets of the texts; numbers keep their own hashes."""
+    if len(_hashes) > 1 << 20:
+        _hashes.clear()
+    flat, at = [], [0]
+    for t in texts:
+        for w in _WORDS.findall(t.lower()):
+            h = _hashes.get(w)
+            if h is None:
+                h = _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+            flat.append(h)
+        at.append(len(flat))
+    return np.array(flat, np.uint64), np.array(at, np.int64)
+
+
+_NUMBER = np.uint64(xxhash.xxh64_intdigest(b"0"))
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def _mix(*parts: np.ndarray) -> np.ndarray:
+    """One hash of several, in which their order counts."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        out = (out ^ p) * _MIX[0]
+        out ^= out >> np.uint64(29)
+    return out * _MIX[1]
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % HASH
 
 
 def _open(a: str) -> bool:
@@ -146,7 +182,7 @@ def _open(a: str) -> bool:
     return depth > 0
 
 
-def _dense(q: str, a: str, lq: np.ndarray, la: np.ndarray, langs: list[str]) -> list[float]:
+def _dense(q: str, a: str, lq: np.ndarray, la: np.ndarray, langs: list[str], n_grams: int, fresh: int, cover: float, n_words: int) -> list[float]:
     body = a.rstrip(_CLOSERS)
     tail = a.rstrip(" \n\t​‌‍⁠﻿")
     last = body[-1:] or " "
@@ -158,37 +194,67 @@ def _dense(q: str, a: str, lq: np.ndarray, la: np.ndarray, langs: list[str]) ->
     bold = tail.count("**") % 2 == 1
     fence = a.count("```") % 2 == 1
     closed = tail[-1:] in ")）]”»\"*|`"
-    qw, aw = _WORDS.findall(q.lower()), _WORDS.findall(a.lower())
-    qs = set(zip(qw, qw[1:], strict=False)) | {(w,) for w in qw[:1]}
-    both = list(zip(aw, aw[1:], strict=False)) or [(w,) for w in aw]
-    fresh = sum(g not in qs for g in both)
-    known = 1 - fresh / max(1, len(both))
-    cover = len(qs & set(both)) / max(1, len(qs))
+    known = 1 - fresh / max(1, n_grams)
     i, j = int(lq.argmax()), int(la.argmax())
-    asked = any(n in q.lower() for n in NAMES.get(langs[j], ()))
+    low = q.lower()
+    asked = any(n in low for n in NAMES.get(langs[j], ()))
     differ = float(i != j)
     sure = float(np.exp(la[j]) - np.exp(la[i]))
     return [
         1.0, float(ended and not opened and not quoted and not bold), float(item), float(item and closed), float(item and not closed and not ended),
         float(opened), float(quoted), float(bold), float(not ended and not item), float(last in ",;:，；：、-–—(（"), float(last.isdigit()), float(last.isalpha() and not item),
-        min(len(a), 400) / 400, float(len(both) < 12), known, cover, float(known > 0.75 and cover > 0.75), float(fresh > 6), min(fresh, 12) / 12, float(known > 0.9),
-        differ * sure * (not asked), differ * asked, float(differ and sure > 0.6 and not asked), float(asked), float(len(aw) > 8) * differ * (not asked), float(fence),
+        min(len(a), 400) / 400, float(n_grams < 12), known, cover, float(known > 0.75 and cover > 0.75), float(fresh > 6), min(fresh, 12) / 12, float(known > 0.9),
+        differ * sure * (not asked), differ * asked, float(differ and sure > 0.6 and not asked), float(asked), float(n_words > 8) * differ * (not asked), float(fence),
     ]
 
 
 DENSE = 26
 
 
-def _sparse(a: str) -> np.ndarray:
-    """Hashed n-grams of all words of the answer, and again, under a tag, those of its last words: there the place matters."""
-    w = _WORDS.findall(a.lower())
-    w = ["0" if x.isdigit() else x for x in w]
-    out = set()
-    for tag, part in (("", w), ("", w[-24:])):
-        out.update(_hash(tag + x) for x in part)
-        out.update(_hash(tag + x + " " + y) for x, y in zip(part, part[1:], strict=False))
-        out.update(_hash(tag + x + " " + y + " " + z) for x, y, z in zip(part, part[1:], part[2:], strict=False))
-    return np.fromiter(out, np.int64, len(out))
+def _grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the pairs of neighbouring words of each text; of a text of one word, that word."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = row[1:] == row[:-1]
+    alone = np.diff(at) == 1
+    rows = np.concatenate([row[:-1][inside], np.flatnonzero(alone)])
+    grams = np.concatenate([_mix(h[:-1], h[1:])[inside] if len(h) else h, _mix(h[at[:-1][alone]])])
+    return rows, grams
+
+
+def _overlap(q: tuple[np.ndarray, np.ndarray], a: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair: word pairs of the answer, those of them that the prompt doesn't have, and the share of the prompt's that the answer has."""
+    n = len(q[1]) - 1
+    qr, qg = _grams(*q)
+    some = np.flatnonzero(np.diff(q[1]) > 1)  # the first word stands for itself, too
+    qr, qg = np.concatenate([qr, some]), np.concatenate([qg, _mix(q[0][q[1][:-1][some]])])
+    ar, ag = _grams(*a)
+    in_row = lambda r, g: _mix(r.astype(np.uint64), g)
+    asked, index = np.unique(in_row(qr, qg), return_index=True)
+    said = in_row(ar, ag)
+    fresh = np.bincount(ar, ~np.isin(said, asked), n).astype(np.int64)
+    both = np.bincount(qr[index], np.isin(asked, said), n)
+    return np.bincount(ar, minlength=n), fresh, both / np.maximum(1, np.bincount(qr[index], minlength=n))
+
+
+LAST_WORDS = 24
+
+
+def _sparse(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of all words of each answer, and again, under a tag, those of its last words: there the place matters. Distinct ones by row, with the offsets of the rows."""
+    n = len(at) - 1
+    row = np.repeat(np.arange(n), np.diff(at))
+    place = np.arange(len(h))
+    tail = place >= at[1:][row] - LAST_WORDS
+    keys = []
+    for size in (1, 2, 3):
+        if len(h) < size:
+            break
+        ok = row[size - 1 :] == row[: len(row) - size + 1]
+        g = _mix(*[h[i : len(h) - size + 1 + i] for i in range(size)])[ok]
+        r, t = row[: len(row) - size + 1][ok], tail[: len(row) - size + 1][ok]
+        keys += [r * HASH + _bucket(g), r[t] * HASH + _bucket(g[t] * _MIX[2] ^ _MIX[3])]
+    key = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]))
+    return key % HASH, np.searchsorted(key, np.arange(n + 1) * HASH)
 
 
 @dataclass
@@ -229,10 +295,18 @@ def features(rows: list[tuple[str, str]], lang: language.Model) -> Matrix:
     """The feature matrix of pairs (prompt, answer)."""
     lq = _lang(lang, [q for q, _ in rows])
     bare = [_QUOTED.sub(" ", a) for _, a in rows]
-    la = _lang(lang, [b if len(_WORDS.findall(b)) > 2 else a for b, (_, a) in zip(bare, rows, strict=True)])
-    dense = np.array([_dense(q, a, lq[n], la[n], lang.langs) for n, (q, a) in enumerate(rows)]).reshape(-1, DENSE)
-    sparse = [_sparse(a) for _, a in rows]
-    return Matrix(dense, np.concatenate([*sparse, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(x) for x in sparse])]).astype(np.int64))
+    la = _lang(lang, [b if len(b) == len(a) or len(_WORDS.findall(b)) > 2 else a for b, (_, a) in zip(bare, rows, strict=True)])
+    q, a = _words([q for q, _ in rows]), _words([a for _, a in rows])
+    n_words = np.diff(a[1])
+    numbers = [int(w) for w in _hashes_of_numbers(rows)]
+    grams, fresh, cover = _overlap(q, a)
+    dense = np.array([_dense(*rows[i], lq[i], la[i], lang.langs, int(grams[i]), int(fresh[i]), float(cover[i]), int(n_words[i])) for i in range(len(rows))]).reshape(-1, DENSE)
+    flat = np.where(np.isin(a[0], np.array(numbers, np.uint64)), _NUMBER, a[0])
+    return Matrix(dense, *_sparse(flat, a[1]))
+
+
+def _hashes_of_numbers(rows: list[tuple[str, str]]) -> set[int]:
+    return {_hashes[w] for _, a in rows for w in _DIGITS.findall(a)}
 
 
 @dataclass
@@ -257,17 +331,22 @@ class Classifier:
         return out
 
 
-def _fit(x: Matrix, y: np.ndarray, steps: int = 120) -> np.ndarray:
-    """Weights of independent logistic regressions, by Adam on the whole matrix."""
+def _fit(x: Matrix, y: np.ndarray, epochs: int = 14, parts: int = 10, seed: int = SEED) -> np.ndarray:
+    """Weights of independent logistic regressions, by Adam on parts of the matrix drawn once."""
     w = np.zeros((DENSE + HASH, y.shape[1]))
     m, v = np.zeros_like(w), np.zeros_like(w)
     decay = np.full((DENSE + HASH, 1), 1e-4)
     decay[:DENSE] = 2e-5
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        g = x.gradient(p - y) / len(y) + decay * w
+    part = np.random.default_rng(seed).permutation(len(y)) % parts
+    batches = [(x.rows(part == k), y[part == k]) for k in range(parts)]
+    for t in range(1, epochs * parts + 1):
+        bx, by = batches[t % parts]
+        if len(by) == 0:
+            continue
+        p = 1 / (1 + np.exp(-np.clip(bx @ w, -40, 40)))
+        g = bx.gradient(p - by) / len(by) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.12 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w -= 0.12 * (1 - 0.8 * t / (epochs * parts)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
@@ -321,13 +400,13 @@ def make_long(rows: list[tuple[str, str]], langs: list[str], rng: np.random.Gene
 
 def adapted(samples: list[tuple[str, str]], sample: list[tuple[str, str]]) -> language.Model:
     """A language model that also knows prompts and short answers: trained again on `samples` and on short texts of the pairs, under the language of the prompt."""
-    first = language.train(samples)
+    first = language.trained(samples)
     short = [(q, a) for q, a in sample if q and a and len(a) < 80]
     if not short:
         return first
     lq = _lang(first, [q for q, _ in short])
     more = [(first.langs[int(p.argmax())], t) for p, (q, a) in zip(lq, short, strict=True) if np.exp(p.max()) > 0.9 for t in {q, a}]
-    return language.train(samples + more)
+    return language.trained(samples + more)
 
 
 def train(sample: list[tuple[str, str]], lang: language.Model, seed: int = SEED) -> Classifier:
@@ -358,6 +437,19 @@ def train(sample: list[tuple[str, str]], lang: language.Model, seed: int = SEED)
     return Classifier(weights, thresholds, lang)
 
 
+_models: dict[bytes, Classifier] = {}
+
+
+def _trained(sample: list[tuple[str, str]], samples: list[tuple[str, str]]) -> Classifier:
+    """The classifier of these inputs, kept by the driver for the next query on the same ones."""
+    key = language.digest(sample, samples)
+    if key not in _models:
+        while len(_models) > 3:
+            _models.pop(next(iter(_models)))
+        _models[key] = train(sample, adapted(samples, sample))
+    return _models[key]
+
+
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The probability from which on F1 is best on held-out pairs, in the middle of the gap to the next one."""
     order = np.argsort(-p)
@@ -371,15 +463,16 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def flag(messages: DataFrame, samples: DataFrame) -> DataFrame:
     """Every pair with its defect: path, prompt_id, defect (null for a sound pair)."""
     built = cut(pairs(messages))
-    every = max(1, built.count() // TRAIN_PAIRS)
-    sample = built.where(F.pmod(F.xxhash64("prompt_id"), F.lit(every)) == 0).limit(TRAIN_PAIRS).collect()
-    taken = sorted((r.prompt or "", r.answer or "") for r in sample)
-    shared = messages.sparkSession.sparkContext.broadcast(train(taken, adapted(language.samples_of(samples), taken)))
+    every = max(1, math.ceil(built.count() / TRAIN_PAIRS))
+    # A sample by hash, about TRAIN_PAIRS rows at most; those over are cut by hash as well.
+    drawn = built.where(F.pmod(F.xxhash64("path", "prompt_id"), F.lit(every)) == 0).orderBy(F.xxhash64("prompt_id", "path"), "prompt_id", "path").limit(TRAIN_PAIRS)
+    taken = sorted((r.prompt or "", r.answer or "") for r in drawn.collect())
+    shared = messages.sparkSession.sparkContext.broadcast(_trained(taken, language.samples_of(samples)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
                 rows = [(q or "", a or "") for q, a in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared.value.name(rows), pa.string())], ["path", "prompt_id", "defect"])
 

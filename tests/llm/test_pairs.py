@@ -64,12 +64,54 @@ def test_held_out(clean):
 def test_middle_of_long_answers(clean):
     """Every word of an answer counts, and a bracket opened anywhere."""
     head, end = " ".join(f"word{chr(97 + i % 26)} starts" for i in range(40)), " ".join(f"sign{chr(97 + i % 26)} ends" for i in range(40))
-    plain, other = P._sparse(f"{head} {end}"), P._sparse(f"{head} I cannot help with that {end}")
-    assert set(other) - set(plain)
-    assert {P._hash(x) for x in ("cannot", "i cannot", "i cannot help")} <= set(other)
+    grams, at = P._sparse(*P._words([f"{head} {end}", f"{head} I cannot help with that {end}", "", "I cannot help"]))
+    plain, other, empty, short = (set(grams[a:b].tolist()) for a, b in zip(at, at[1:], strict=False))
+    assert other - plain and not empty
+    h, _ = P._words(["I cannot help"])
+    assert {int(P._bucket(P._mix(*[h[k : k + 1] for k in part]))[0]) for part in ((1,), (0, 1), (0, 1, 2))} <= other & short
     assert P._open(f"see (section 3 {head}") and not P._open(f"1) see (section 3) {head}") and P._open("1) see (section 3")
     rows, samples = clean
     lang = P.language.train(samples)
     made = P.make_long(rows[:60], ["en"] * 60, np.random.default_rng(2))
     assert {k for *_, k in made} == {1, -1} and any(len(a.split()) > 60 for _, a, k in made if k == 1)
     assert P.features([("q", f"({head} {end}")], lang).dense[0, 5] == 1
+
+
+def brute_overlap(q, a):
+    qw, aw = P._WORDS.findall(q.lower()), P._WORDS.findall(a.lower())
+    qs = set(zip(qw, qw[1:], strict=False)) | {(w,) for w in qw[:1]}
+    both = list(zip(aw, aw[1:], strict=False)) or [(w,) for w in aw]
+    return len(both), sum(g not in qs for g in both), len(qs & set(both)) / max(1, len(qs))
+
+
+def test_overlap_is_that_of_single_pairs():
+    rng = np.random.default_rng(0)
+    word = lambda n: " ".join(rng.choice(["a", "b", "c", "d", "12", "中"], int(rng.integers(0, n))))
+    rows = [(word(6), word(9)) for _ in range(300)] + [("", ""), ("a", "a"), ("a b", "a"), ("a", "")]
+    got = P._overlap(P._words([q for q, _ in rows]), P._words([a for _, a in rows]))
+    for i, (q, a) in enumerate(rows):
+        assert tuple(float(x[i]) for x in got) == tuple(map(float, brute_overlap(q, a))), (q, a)
+
+
+#: Defects in other words than those the training pairs are made of.
+REAL = [
+    ("refusal", "What does page 3 say about the lease?", "I have to pass on this one, since discussing the contents of this file isn't something I am permitted to do."),
+    ("refusal", "Was steht auf Seite 3 zur Miete?", "Darauf darf ich leider nicht eingehen; meine Richtlinien untersagen mir Auskünfte über diese Datei."),
+    ("refusal", "Que dit la page 3 sur le bail ?", "Il m'est impossible de vous répondre : on ne m'autorise pas à parler de ce fichier."),
+    ("truncated", "What does page 3 say about the lease?", "Page 3 says that the lease starts in March, that the deposit is due within two weeks and that the"),
+    ("truncated", "Was steht auf Seite 3 zur Miete?", "Auf Seite 3 steht, dass die Miete im März beginnt und dass die Kaution innerhalb von"),
+    ("copy", "What does page 3 say about the lease?", "You want to know: what does page 3 say about the lease"),
+    ("language", "What does page 3 say about the lease?", "Auf Seite 3 steht, dass die Miete im März beginnt und die Kaution innerhalb von zwei Wochen fällig ist."),
+    ("language", "Was steht auf Seite 3 zur Miete?", "La page 3 dit que le bail commence en mars et que la caution est due sous deux semaines."),
+    (None, "What does page 3 say about the lease?", "Page 3 says that the lease starts in March and that the deposit is due within two weeks."),
+    (None, "Was steht auf Seite 3 zur Miete?", "Die Miete beginnt im März; die Kaution ist innerhalb von zwei Wochen fällig."),
+    (None, "Que dit la page 3 sur le bail ?", "Le bail commence en mars et la caution est due sous deux semaines."),
+    (None, "What does page 3 say about the lease?", "The file does not say anything about a lease."),
+]
+
+
+def test_defects_from_elsewhere(clean):
+    rows, samples = clean
+    c = P.train(rows, P.adapted(samples, rows))
+    got = c.name([(q, a) for _, q, a in REAL])
+    assert sum(g == d for g, (d, *_) in zip(got, REAL, strict=True)) >= 10, list(zip(got, [d for d, *_ in REAL], strict=True))
