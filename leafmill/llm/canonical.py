@@ -107,8 +107,48 @@ def folder() -> Folder:
     return _folder
 
 
+#: What is known of code points: a text of stable ones alone is in canonical form.
+_state = np.zeros(0x110000, np.uint8)
+_STABLE, _UNSTABLE = 1, 2
+
+
+def _learn_stable(cp: np.ndarray) -> None:
+    """Enter code points not seen before: stable are those that fold to themselves and join with none before them."""
+    new = np.unique(cp[_state[cp] == 0])
+    if len(new):
+        out, at = _fold_all(new, np.arange(len(new) + 1))
+        same = np.diff(at) == 1
+        same[same] = out[at[:-1][same]] == new[same]
+        same &= (folder().ccc[new] == 0) & (new != 0x0D) & ~((new >= 0x1100) & (new < 0x1200))
+        same &= np.array([unicodedata.category(chr(c))[0] != "M" for c in new])
+        _state[new] = np.where(same, _STABLE, _UNSTABLE)
+
+
 def fold(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical code points and offsets of the texts cp[at[i]:at[i + 1]]."""
+    """Canonical code points and offsets of the texts cp[at[i]:at[i + 1]]; texts that are in canonical form are passed over."""
+    odd = np.flatnonzero((cp >= 0x7F) | (cp < 0x20))
+    if len(odd) == 0:
+        return cp, at
+    _learn_stable(cp[odd])
+    rows = np.unique(np.searchsorted(at, odd[_state[cp[odd]] != _STABLE], "right") - 1)
+    if len(rows) == 0:
+        return cp, at
+    if 2 * len(rows) > len(at) - 1:
+        return _fold_all(cp, at)
+    size = np.diff(at)
+    sub_at = np.concatenate([[0], np.cumsum(size[rows])])
+    out, out_at = _fold_all(np.concatenate([cp[at[r] : at[r + 1]] for r in rows]), sub_at)
+    parts, last = [], 0
+    for k, r in enumerate(rows):
+        parts += [cp[last : at[r]], out[out_at[k] : out_at[k + 1]]]
+        last = at[r + 1]
+    size = size.copy()
+    size[rows] = np.diff(out_at)
+    return np.concatenate([*parts, cp[last:]]), np.concatenate([[0], np.cumsum(size)])
+
+
+def _fold_all(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`fold` of every text."""
     f = folder()
     odd = np.flatnonzero((cp >= 0x7F) | (cp < 0x20))
     if len(odd) == 0:

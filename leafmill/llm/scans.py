@@ -64,6 +64,7 @@ _SKELETON = str.maketrans({"0": "o", "5": "s", "9": "g", "1": "l", "i": "l", "c"
 _PAGE = r"(?:page|pages|pag\.?|pág\.?|pagina|página|p\.?|seite|s\.?|blatt|folio|n[o°º]\.?|第)"
 _OF = r"(?:/|\||of|von|de|sur|di|共|从)"
 _PAGENUM = re.compile(rf"^[\s\-–—_=~.•·*\[\](){{}}<>|#]*(?:{_PAGE}\s*)?(\d+)(?:\s*页)?(?:\s*{_OF}\s*(\d+)(?:\s*页)?)?[\s\-–—_=~.•·*\[\](){{}}<>|]*$")
+_NUMBERED = re.compile(rf"\b{_PAGE}?\s*([0-9]+)\b", re.I)
 _DIGITS = str.maketrans({"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "S": "5", "s": "5", "g": "9", "q": "9", "B": "8", "Z": "2", "z": "2", "G": "6", "b": "6"})
 
 #: Words and numbers of a line: the page's number has no more than the words for page and of, and two numbers.
@@ -635,7 +636,7 @@ class Reader:
             for pattern in (r"^(\S{1,12})[\s|·•\-–—]+", r"[\s|·•\-–—]+(\S{1,12})$"):
                 if (m := re.search(pattern, ends)) and m[1].translate(_DIGITS) == str(page):
                     ends = ends[: m.start()] + ends[m.end() :] if m.start() else ends[m.end() :]
-            x = re.sub(rf"\b{_PAGE}?\s*{page}\b", " ", ends, flags=re.I)
+            x = _NUMBERED.sub(lambda m: " " if int(m[1]) == page else m[0], ends)
         key = re.sub(r"[^\w]+", " ", skeleton(x.lower())).strip()
         return key if len(key) > 2 and not key.isdigit() else None
 

@@ -45,3 +45,12 @@ def test_found(spark):
     assert N.found(pages.limit(0), marks.limit(0)).count() == 0
     kept = N.canonical_form(pages).select("canonical").collect()
     assert sum(r.canonical is None for r in kept) == 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aé é ａ中\r\n​ﬁ한하ö!"), max_size=12), max_size=9))
+def test_texts_in_form_are_passed_over(texts):
+    """Passing over texts in canonical form changes nothing."""
+    cp, at = to_codepoints(pa.array(texts, pa.string()))
+    got, want = N.fold(cp, at), N._fold_all(cp, at)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
