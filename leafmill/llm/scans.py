@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import boosting
 from leafmill.llm.canonical import fold
-from leafmill.llm.codepoints import from_codepoints, slices, to_codepoints
+from leafmill.llm.codepoints import slices, to_codepoints
 from leafmill.plans import cut
 
 #: Most frequent words that go along with the tasks and make up the character model.
@@ -69,6 +69,7 @@ _DIGITS = str.maketrans({"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I":
 
 #: Words and numbers of a line: the page's number has no more than the words for page and of, and two numbers.
 _NUMBER_PARTS = re.compile(r"\w+")
+_MANY_PARTS = re.compile(r"(?:\w+\W+){5}\w")
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(rf"[{_L}0-9]++(?:['’\-][{_L}0-9]++)*+")
 _BREAK = re.compile(r"([-‐¬])[ \t]*\n[ \t]*\n?[ \t]*")
@@ -85,7 +86,9 @@ def skeleton(word: str) -> str:
 def plain_texts(col: pa.Array) -> list[str]:
     """Canonical forms of the texts; a soft hyphen at a line's end becomes a sign that stays."""
     col = pc.replace_substring_regex(col.fill_null(""), "­([ \t   ]*\r?\n)", f"{_BREAK_MARK}\\1")
-    return from_codepoints(*fold(*to_codepoints(col))).to_pylist()
+    cp, at = fold(*to_codepoints(col))
+    whole = cp.astype("<u4", copy=False).tobytes().decode("utf-32-le")
+    return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def broken_at(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -570,7 +573,7 @@ Edge = tuple[str, str, int, list[float] | None]
 
 @dataclass
 class Reader:
-    """Frequent words that are no mistakes (others are looked up), and the trees that say whether a line goes on."""
+    """Frequent words that are no mistakes, in all capitals they may have (others are looked up), and the trees that say whether a line goes on."""
 
     common: set[str]
     goes_on: boosting.Boosted | None
@@ -672,7 +675,7 @@ def roman(n: int) -> str:
 def page_number(line: str, page: int | None) -> bool | None:
     """Whether the line's page number is misread, None if it isn't the page's number."""
     line = line.strip()
-    if page is None:
+    if page is None or ("<" not in line and _MANY_PARTS.search(line)):
         return None
     x = unicodedata.normalize("NFKC", re.sub(r"</?[a-z]+>|[*_`]+", "", line)).strip().lower()
     if not x or x.count("|") > 2 or len(_NUMBER_PARTS.findall(x)) > 5:
@@ -776,7 +779,8 @@ def study(pages: DataFrame) -> Studied:
     # A broken word that is misread counts as what it was.
     mended = fixes.select("word", F.col("fix").alias("_fix")).join(words.select(F.col("word").alias("_fix"), "n"), "_fix").select("word", "n")
     right = right.unionByName(mended)
-    return Studied(Reader(set(common), goes_on), fixes, judge_broken(broken, right, hyphen))
+    spelled = {x for w in common for x in (w, w.capitalize(), w.upper())}
+    return Studied(Reader(spelled, goes_on), fixes, judge_broken(broken, right, hyphen))
 
 
 def _running(noted: DataFrame) -> DataFrame:
