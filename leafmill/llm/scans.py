@@ -69,7 +69,7 @@ _DIGITS = str.maketrans({"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I":
 
 #: Words and numbers of a line: the page's number has no more than the words for page and of, and two numbers.
 _NUMBER_PARTS = re.compile(r"\w+")
-_MANY_PARTS = re.compile(r"(?:\w+\W+){5}\w")
+_MANY_PARTS = re.compile(r"\W*+(?:\w++\W++){5}\w")
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(rf"[{_L}0-9]++(?:['’\-][{_L}0-9]++)*+")
 _BREAK = re.compile(r"([-‐¬])[ \t]*\n[ \t]*\n?[ \t]*")
@@ -675,7 +675,7 @@ def roman(n: int) -> str:
 def page_number(line: str, page: int | None) -> bool | None:
     """Whether the line's page number is misread, None if it isn't the page's number."""
     line = line.strip()
-    if page is None or ("<" not in line and _MANY_PARTS.search(line)):
+    if page is None or ("<" not in line and _MANY_PARTS.match(line)):
         return None
     x = unicodedata.normalize("NFKC", re.sub(r"</?[a-z]+>|[*_`]+", "", line)).strip().lower()
     if not x or x.count("|") > 2 or len(_NUMBER_PARTS.findall(x)) > 5:
