@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from leafmill import queries  # noqa: F401, PLC0415
+    from leafmill import queries, queries_more  # noqa: F401, PLC0415
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import collapse
+from leafmill.functions.text import collapse, page_numbers
 
 OMITTED = " — omitted from chat history]"
 
@@ -13,12 +13,20 @@ OMITTED = " — omitted from chat history]"
 CURRENT_PAGE = "(?i)这一页|当前页|本页|此页|这页|this page|current page|the page (?:i'?m|I'?m|I'm) (?:viewing|on|reading)"
 WHOLE_DOCUMENT = "(?i)全文|整份|整个文档|整篇|所有页|全书|whole document|entire document|full document|all pages|document summary|(?:总结|分析)(?:一下)?(?:(?:这份|这个)(?:文档|文件|报告|论文|书|资料|材料|PDF)|整|全)"
 FACTUAL = "(?i)有哪些|是什么|多少|几个|哪些|列出|日期|时间|谁|何时|何地|where|when|what|which|how many|list all|find all"
-PAGE_REF = r"(?i)(?:\bpages?|\bpp?\.)\s*([0-9]{1,4})|第\s*([0-9]{1,4})\s*页"
+PAGE_REF = r"(?i)\b(?:pages?|pp?\.)\s*([0-9]{1,5})(?:\s*[-–—~]\s*[0-9]{1,5})?|第\s*([0-9]{1,5})\s*(?:[-–—~至到]\s*[0-9]{1,5}\s*)?页"
+#: Tools whose outputs are compacted, and those that only survey.
+COMPACTED = ("document_outline", "search_in_document", "read_pdf_page", "read_pdf_range", "read_section")
+META = ("document_outline", "search_in_document")
+CANCELLED = "[cancelled]"
 
 
 def once(messages: DataFrame) -> DataFrame:
-    """Valid messages without exact repeats: known role and an id."""
-    return messages.where("path is not null and id <> '' and role in ('user', 'assistant', 'system')").dropDuplicates(["path", "seq", "id"])
+    """Valid messages, one for each path, seq and id: known role and an id; of rows that differ the first to arrive, and of these the least."""
+    ok = messages.where("path is not null and id <> '' and role in ('user', 'assistant', 'system')")
+    rest = [c for c in ok.columns if c not in ("path", "seq", "id")]
+    order = [F.to_json(F.struct(*[c for c in rest if c != "arrived_at"]))]
+    first = F.struct("arrived_at", *order) if "arrived_at" in rest else F.struct(*order)
+    return ok.groupBy("path", "seq", "id").agg(F.min_by(F.struct(*rest), first).alias("_r")).select("path", "seq", "id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def visible(parts: str = "parts") -> Column:
@@ -28,6 +36,8 @@ def visible(parts: str = "parts") -> Column:
 
 def dropped_turns(total: Column, keep: int = 12, step: int = 4) -> Column:
     """Turns cut from a history: none up to `keep`, then in whole steps so that the cut rarely moves."""
+    if step < 1:
+        return F.greatest(F.lit(0), total - keep).cast("bigint")
     return F.when(total <= keep, 0).otherwise(F.floor((total - keep) / step) * step).cast("bigint")
 
 
@@ -65,17 +75,46 @@ def bucket_counts(steps: DataFrame) -> DataFrame:
 
 
 def step_details(steps: DataFrame) -> DataFrame:
-    """Per path and key the count, the page of the first step and the place of the first, in order of first sight."""
+    """Per path and key the count, the label and page of the first step, and the place of the first, in order of first sight."""
     at = F.struct("seq", "pos")
-    d = steps.groupBy("path", "key").agg(F.count("*").alias("n"), F.min_by("page", at).alias("page"), F.min(at).alias("first"))
-    return d.select("path", "key", "n", "page", F.row_number().over(Window.partitionBy("path").orderBy("first")).alias("ord"))
+    d = steps.groupBy("path", "key").agg(F.count("*").alias("n"), F.min_by(step_label(), at).alias("label"), F.min_by("page", at).alias("page"), F.min(at).alias("first"))
+    return d.select("path", "key", "n", "label", "page", F.row_number().over(Window.partitionBy("path").orderBy("first")).alias("ord"))
+
+
+def step_label() -> Column:
+    """What a tool step is called."""
+    key = F.col("key")
+    tail = F.regexp_extract(key, ":(.*)$", 1)
+    return (
+        F.when(F.col("tool") == "read_pdf_page", F.concat(F.lit("Read page "), tail))
+        .when(F.col("tool") == "read_pdf_range", F.concat(F.lit("Read pages "), tail))
+        .when(F.col("bucket") == "search", F.concat(F.lit("Search "), tail))
+        .when(F.col("bucket") == "index", "Survey")
+        .otherwise(F.col("tool"))
+    )
+
+
+PHASES = ("survey", "locate", "read", "answer")
+
 
+def run_plan(steps: DataFrame, running: DataFrame | None = None) -> DataFrame:
+    """Per path the four phases survey, locate, read, answer with their steps and state (done, active, pending); all four always.
 
-def run_plan(steps: DataFrame) -> DataFrame:
-    """Per path the four phases survey, locate, read, answer with their steps; all four always."""
-    phase = F.when(F.col("bucket") == "index", "survey").when(F.col("bucket") == "search", "locate").otherwise("read")
-    counted = steps.groupBy("path").agg(*[F.count_if(phase == p).alias(p) for p in ("survey", "locate", "read")])
-    return counted.select("path", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(p).alias("phase"), (F.col(p) if p != "answer" else F.lit(0)).cast("bigint").alias("steps")) for i, p in enumerate(("survey", "locate", "read", "answer"))])).alias("x")).select("path", "x.*")
+    `running` (path, running, answering) names runs that go on; others are finished. The phase of the
+    last step is active, or the answer while it is written; a run without a step is surveying.
+    """
+    phase = F.when(F.col("bucket") == "index", 0).when(F.col("bucket") == "search", 1).otherwise(2)
+    counted = steps.groupBy("path").agg(*[F.count_if(phase == i).alias(p) for i, p in enumerate(PHASES[:3])], F.max_by(phase, F.struct("seq", "pos")).alias("last"))
+    if running is None:
+        counted = counted.withColumns({"running": F.lit(False), "answering": F.lit(False)})
+    else:
+        counted = counted.join(running, "path", "full_outer").fillna(0, list(PHASES[:3])).fillna(False, ["running", "answering"])
+    active = F.when(F.col("running"), F.when(F.col("answering"), 3).otherwise(F.coalesce("last", F.lit(0))))
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(p).alias("phase"), (F.col(p) if i < 3 else F.lit(0)).cast("bigint").alias("steps")) for i, p in enumerate(PHASES)]))
+    flat = counted.withColumn("active", active).select("path", "running", "answering", "active", rows.alias("x")).select("*", "x.*")
+    done = (F.col("steps") > 0) | (F.col("ord") < F.col("active")) | ~F.col("running") | ((F.col("ord") == 3) & F.col("answering"))
+    state = F.when(F.col("active") == F.col("ord"), "active").when(F.coalesce(done, F.lit(False)), "done").otherwise("pending")
+    return flat.select("path", "ord", "phase", "steps", state.alias("state"))
 
 
 def usage_totals(messages: DataFrame) -> DataFrame:
@@ -93,51 +132,141 @@ def usage_totals(messages: DataFrame) -> DataFrame:
 
 
 def message_gaps(messages: DataFrame) -> DataFrame:
-    """path, seq, id and the milliseconds since the message before in its thread, at least 0; null for the first and where a time is missing."""
-    at = F.col("metadata.finished_at")
-    gap = at - F.lag(at).over(Window.partitionBy("path").orderBy("seq", "id"))
+    """path, seq, id of each answer and the milliseconds since the answer before in its thread, at least 0; of the first since it was begun; null where a time is missing."""
+    done, begun = F.col("metadata.finished_at"), F.col("metadata.started_at")
+    w = Window.partitionBy("path").orderBy("seq", "id")
+    gap = done - F.when(F.row_number().over(w) == 1, begun).otherwise(F.lag(done).over(w))
     return messages.where("role = 'assistant'").select("path", "seq", "id", F.when(gap.isNotNull(), F.greatest(F.lit(0), gap)).alias("gap_ms"))
 
 
 def text_length(output: str = "output") -> Column:
-    """Characters of a tool output: its text if it is an object with one, else its charCount, else its own length."""
+    """Characters of a tool output: its text if it is an object with one, else its charCount, else its own length; 0 for null."""
     return F.coalesce(F.length(F.get_json_object(output, "$.text")), F.get_json_object(output, "$.charCount").try_cast("int"), F.length(output), F.lit(0))
 
 
-def compact_outputs(steps: DataFrame) -> DataFrame:
-    """path, seq, pos and the output as kept in history: one line for reads, searches and outlines; compacted, cancelled and refused ones as they are."""
+def compacted_output() -> Column:
+    """The one line that stands for a tool output (columns tool, input, output): reads, searches, sections and outlines; compacted, cancelled and refused ones and other tools' as they are."""
     n = text_length().cast("string")
     arg = lambda k: F.get_json_object("input", f"$.{k}")
+    end = F.lit(OMITTED)
+    chars = lambda *head: F.concat(*head, F.lit(", "), n, F.lit(" chars"), end)
     span = F.when(arg("start").isNull() | arg("end").isNull(), "page range").when(arg("start") == arg("end"), F.concat(F.lit("page "), arg("start"))).otherwise(F.concat(F.lit("pages "), arg("start"), F.lit("–"), arg("end")))
+    listed = F.coalesce(F.json_array_length(F.get_json_object("output", "$.hits")), F.when(F.col("output").startswith("["), F.json_array_length("output")))
+    hits = F.coalesce(listed.cast("string"), n)
+    tool = F.col("tool")
     line = (
-        F.when((F.col("tool") == "read_pdf_page") & arg("page").isNotNull(), F.concat(F.lit("[Read page "), arg("page"), F.lit(", "), n, F.lit(" chars" + OMITTED)))
-        .when(F.col("tool") == "read_pdf_range", F.concat(F.lit("[Read "), span, F.lit(", "), n, F.lit(" chars" + OMITTED)))
-        .when(F.col("tool") == "document_outline", F.concat(F.lit("[Document index, "), n, F.lit(" chars" + OMITTED)))
+        F.when((tool == "read_pdf_page") & arg("page").isNotNull(), chars(F.lit("[Read page "), arg("page")))
+        .when(tool == "read_pdf_range", chars(F.lit("[Read "), span))
+        .when(tool == "search_in_document", F.concat(F.lit('[Search "'), F.substring(F.coalesce(arg("query"), F.lit("query")), 1, 40), F.lit('", '), hits, F.lit(" hits"), end))
+        .when(tool == "read_section", chars(F.lit('[Read section "'), F.substring(F.coalesce(arg("title"), F.lit("section")), 1, 60), F.lit('"')))
+        .when(tool == "document_outline", chars(F.lit("[Document index")))
         .otherwise(F.col("output"))
     )
-    same = F.endswith("output", F.lit(OMITTED)) | (F.col("output") == "[cancelled]") | (F.get_json_object("output", "$.budgetExceeded") == "true")
-    return steps.where("output is not null").select("path", "seq", "id", "pos", F.when(F.coalesce(same, F.lit(False)), F.col("output")).otherwise(line).alias("output"))
+    same = F.endswith("output", end) | (F.col("output") == CANCELLED) | (F.get_json_object("output", "$.budgetExceeded") == "true")
+    return F.when(F.coalesce(same, F.lit(False)), F.col("output")).otherwise(line)
+
+
+def compact_outputs(steps: DataFrame) -> DataFrame:
+    """path, seq, pos and the output as kept in history."""
+    return steps.where("output is not null").select("path", "seq", "id", "pos", compacted_output().alias("output"))
+
+
+def compact_run(steps: DataFrame, keep_chars: int = 16_000, keep_least: int = 1) -> DataFrame:
+    """path, seq, pos and output of a run's tool outputs: the newest whole ones within `keep_chars` stay, `keep_least` of them always; older ones become one line."""
+    known = steps.where("output is not null")
+    w = Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("pos"))
+    sized = known.where(F.col("tool").isin(*COMPACTED)).select("path", "seq", "pos", text_length().alias("n"))
+    ranked = sized.withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
+    older = ranked.where((F.col("total") > keep_chars) & (F.col("rn") > keep_least)).select("path", "seq", "pos", F.lit(True).alias("older"))
+    both = known.join(older, ["path", "seq", "pos"], "left")
+    return both.select("path", "seq", "id", "pos", F.when(F.col("older"), compacted_output()).otherwise(F.col("output")).alias("output"))
+
+
+def repaired_parts(c: str = "parts") -> Column:
+    """Parts without unfinished tool inputs; calls that wait for their output get `[cancelled]` as one."""
+    tool = lambda p: F.startswith(p.type, F.lit("tool-"))
+    kept = F.filter(c, lambda p: ~(tool(p) & F.coalesce(p.state == "input-streaming", F.lit(False))))
+    waits = lambda p: tool(p) & F.coalesce(p.state == "input-available", F.lit(False))
+    return F.transform(kept, lambda p: F.when(waits(p), p.withField("state", F.lit("output-available")).withField("output", F.lit(CANCELLED))).otherwise(p))
 
 
 def repair_dangling(messages: DataFrame) -> DataFrame:
-    """path, seq, id and the states of parts after repair: unfinished inputs go, waiting calls become cancelled; messages left empty go."""
-    kept = F.filter("parts", lambda p: ~(F.startswith(p.type, F.lit("tool-")) & F.coalesce(p.state == "input-streaming", F.lit(False))))
-    fixed = F.transform(kept, lambda p: F.concat_ws("|", p.type, F.when(F.startswith(p.type, F.lit("tool-")) & (p.state == "input-available"), "[cancelled]").otherwise(p.state)))
-    return messages.withColumn("f", fixed).where(F.size("f") > 0).select("path", "seq", "id", F.array_join("f", ";").alias("parts"))
+    """Messages with repaired parts; those left empty go."""
+    return messages.withColumn("parts", repaired_parts()).where(F.size("parts") > 0)
+
+
+def shown_parts(c: str = "parts") -> Column:
+    """Parts as one line of text: type, state, text and output of each."""
+    return F.array_join(F.transform(c, lambda p: F.concat_ws("|", p.type, p.state, p.text, p.output)), "¶")
 
 
 def strip_reasoning(messages: DataFrame) -> DataFrame:
-    """path, seq, id, n_parts without reasoning parts of assistants; messages left or come empty go."""
+    """Messages without reasoning parts of assistants; messages left or come empty go."""
     kept = F.when(F.col("role") == "assistant", F.filter("parts", lambda p: p.type != "reasoning")).otherwise(F.col("parts"))
-    return messages.withColumn("k", kept).where(F.size("k") > 0).select("path", "seq", "id", F.size("k").alias("n_parts"))
+    return messages.withColumn("parts", kept).where(F.size("parts") > 0)
 
 
-def read_trail(steps: DataFrame, cap: int = 300) -> DataFrame:
-    """Per path the distinct pages its read tools asked for, at most `cap` of them, in order; ranges are spread out."""
-    arg = lambda k: F.get_json_object("input", f"$.{k}").try_cast("int")
-    pages = F.when(F.col("tool") == "read_pdf_page", F.array(arg("page"))).when((F.col("tool") == "read_pdf_range") & (arg("end") >= arg("start")), F.sequence(arg("start"), F.least(arg("end"), arg("start") + cap)))
-    each = steps.where("tool in ('read_pdf_page', 'read_pdf_range') and coalesce(output, '') <> '[cancelled]'").select("path", F.explode(pages).alias("page")).where("page >= 1").distinct()
-    return each.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy("page"))).where(F.col("rn") <= cap).select("path", "page")
+def read_pages(parts: str = "parts", cap: int = 300) -> Column:
+    """The distinct pages that a message's read tools delivered, in order, the first `cap` of them.
+
+    Only calls with a complete input count. Cancelled reads and refused ones without characters
+    delivered nothing. A range is what the output reports, else what was asked for; a section only
+    what the output reports.
+    """
+
+    def pages(p: Column) -> Column:
+        given = lambda k: F.get_json_object(p.input, f"$.{k}").try_cast("int")
+        told = lambda k: F.get_json_object(p.output, f"$.{k}").try_cast("int")
+        live = F.coalesce(p.state.isin("input-available", "output-available"), F.lit(False))
+        refused = (F.get_json_object(p.output, "$.budgetExceeded") == "true") & (told("charCount") == 0)
+        nothing = F.coalesce((p.output == CANCELLED) | refused, F.lit(False))
+        reported = F.coalesce(told("endPage") >= told("startPage"), F.lit(False))
+        a, b = F.when(reported, told("startPage")).otherwise(given("start")), F.when(reported, told("endPage")).otherwise(F.greatest(given("start"), given("end")))
+        spread = F.sequence(a, F.least(b, a + cap))
+        # A null bound gives no pages.
+        ranged = F.when((a >= 1) & (b >= a), spread)
+        got = F.when(p.type == "tool-read_pdf_page", F.when(given("page") >= 1, F.array(given("page")))).when(p.type == "tool-read_pdf_range", ranged).when((p.type == "tool-read_section") & reported, ranged)
+        return F.coalesce(F.when(live & ~nothing, got), F.array().cast("array<int>"))
+
+    every = F.array_distinct(F.flatten(F.transform(F.coalesce(parts, F.expr(f"cast(array() as {PARTS})")), pages)))
+    return F.array_sort(F.slice(every, 1, cap))
+
+
+PARTS = "array<struct<type: string, text: string, tool_name: string, tool_call_id: string, state: string, input: string, output: string>>"
+
+
+def read_trail(messages: DataFrame) -> DataFrame:
+    """path, seq, id and page of each page that an assistant's message delivered."""
+    return messages.where("role = 'assistant'").select("path", "seq", "id", F.explode(read_pages()).alias("page"))
+
+
+def segments(messages: DataFrame) -> DataFrame:
+    """path, seq, id, segment, kind (text, reasoning, tools), first part and number of parts: contiguous runs of tool parts are one segment.
+
+    Step marks and blank texts stand between without ending a run; reasoning within a run comes after it.
+    """
+    each = messages.select("path", "seq", "id", F.posexplode("parts").alias("pos", "p"))
+    kind = F.when(F.startswith("p.type", F.lit("tool-")), "tools").when((F.col("p.type") == "reasoning") & (F.length(F.trim(F.coalesce("p.text", F.lit("")))) > 0), "reasoning").when((F.col("p.type") == "text") & (F.length(F.trim(F.coalesce("p.text", F.lit("")))) > 0), "text")
+    live = each.withColumn("kind", kind).where("kind is not null")
+    w = Window.partitionBy("path", "seq", "id").orderBy("pos")
+    # A run of tools begins where no text came since the last tool; reasoning between is put behind it.
+    texts = F.count_if(F.col("kind") == "text").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.min(F.when(F.col("kind") == "tools", F.col("pos"))).over(Window.partitionBy("path", "seq", "id", "texts"))
+    last = F.max(F.when(F.col("kind") == "tools", F.col("pos"))).over(Window.partitionBy("path", "seq", "id", "texts"))
+    spot = F.when(F.col("kind") == "tools", F.struct(F.col("run").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))).when((F.col("kind") == "reasoning") & F.col("pos").between(F.col("run"), F.col("last")), F.struct(F.col("run").alias("a"), F.lit(1).alias("b"), F.col("pos").alias("c"))).otherwise(F.struct(F.col("pos").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")))
+    placed = live.withColumn("texts", texts).withColumn("run", run).withColumn("last", last).withColumn("spot", spot)
+    runs = placed.groupBy("path", "seq", "id", "kind", "spot").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    return runs.select("path", "seq", "id", F.row_number().over(Window.partitionBy("path", "seq", "id").orderBy("spot")).alias("segment"), "kind", "first", "n")
+
+
+def meta_loops(calls: DataFrame, window: int = 3) -> DataFrame:
+    """Per run whether its last `window` steps call nothing but surveys and searches and one of these calls repeats (run, step, tool, input; a step without a call has a null tool)."""
+    steps = calls.groupBy("run", "step").agg(F.bool_and(F.coalesce(F.col("tool").isin(*META), F.lit(False))).alias("meta"))
+    ranked = steps.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("step")))).where(F.col("rn") <= window)
+    near = ranked.groupBy("run").agg((F.bool_and("meta") & (F.count("*") == window)).alias("meta"), F.min("step").alias("since"))
+    seen = calls.join(near, "run").where((F.col("step") >= F.col("since")) & F.col("tool").isin(*META)).groupBy("run", "tool", F.coalesce("input", F.lit("")).alias("input")).count()
+    repeats = seen.groupBy("run").agg((F.max("count") > 1).alias("again"))
+    return near.join(repeats, "run", "left").select("run", (F.col("meta") & F.coalesce("again", F.lit(False))).alias("loop"))
 
 
 def intents(prompts: DataFrame, text: str = "text") -> DataFrame:
@@ -154,6 +283,12 @@ def page_refs(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("refs", F.filter(refs, lambda n: n >= 1))
 
 
+def follows(read_page: Column, text: Column, viewing: Column) -> Column:
+    """Whether a preview should go to a page just read: never for questions on the whole document, to the page in view for one on this page, to pages that the prompt names; a null prompt always."""
+    named = page_numbers(text)
+    return F.when(text.isNull(), True).when(text.rlike(WHOLE_DOCUMENT), False).when(text.rlike(CURRENT_PAGE) | (F.size(named) == 0), read_page == viewing).otherwise(F.array_contains(named, read_page))
+
+
 def claim(text: Column, most: int = 500) -> Column:
     """An answer cut to whole sentences within `most` characters, else to whole words with an ellipsis."""
     clean = collapse(text)

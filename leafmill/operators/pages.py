@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_heading, trim
+from leafmill.functions.text import clean_heading, collapse, trim
 
 MIN_TEXT_CHARS = 20
 RASTER_CHARS = 48
@@ -17,15 +17,21 @@ RUNNING_MIN_PAGES, RUNNING_MAX_CHARS = 3, 80
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row by `order` of each key, by a partial aggregate instead of a sort; keys may be null."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    """The last row by `order`, which no two rows share, of each key; keys may be null.
+
+    The winners are found on keys and order alone, by a hash aggregate; their rows are then picked by
+    a hash of the winners, so texts are shuffled once and never sorted.
+    """
+    return _picked(rows, rows.groupBy(*keys).agg(F.max(order).alias(order)).select(order), order)
 
 
 def earliest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """As `latest`, the first row."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return _picked(rows, rows.groupBy(*keys).agg(F.min(order).alias(order)).select(order), order)
+
+
+def _picked(rows: DataFrame, winners: DataFrame, order: str) -> DataFrame:
+    return rows.join(winners.hint("shuffle_hash"), order, "left_semi")
 
 
 def text_chars(c: str = "text") -> Column:
@@ -55,27 +61,57 @@ def ranges(rows: DataFrame, key: str = "path", page: str = "page", out: str = "p
     return runs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", label.alias("t")))), lambda x: x.t), ", ").alias(out))
 
 
-def densest(pages: DataFrame, k: int = DENSEST) -> DataFrame:
-    """path, page, chars of the k longest pages of each path; ties go to the lower page."""
-    sized = pages.select("path", "page", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    return sized.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("chars"), "page"))).where(F.col("rn") <= k).drop("rn")
+def sizes(pages: DataFrame) -> DataFrame:
+    """Pages without their texts: chars, sparse and table in place of `text`; null text is empty."""
+    measured = pages.withColumns({"chars": F.coalesce(F.length("text"), F.lit(0)), "sparse": text_chars() < MIN_TEXT_CHARS, "table": F.coalesce(F.contains("text", F.lit("|---")), F.lit(False))})
+    return measured.drop("text")
 
 
-def survey(pages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Per path: pages, characters, need of chunking, and unindexed, densest, table and marked pages as ranges ('' if none)."""
-    names = ["unindexed_pages", "densest_pages", "table_pages", "marked_pages"]
-    # Texts end here: all that follows works on sizes and flags, in one pass for all kinds of range.
-    sized = pages.select("path", "page", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), (text_chars() < MIN_TEXT_CHARS).alias("sparse"), F.contains("text", F.lit("|---")).alias("table"))
+def densest(pages: DataFrame, k: int = DENSEST) -> DataFrame:
+    """path, page, chars of the k longest pages of each path; ties go to the lower page. Each task keeps its own k of a path before rows are shuffled."""
+    sized = pages if "chars" in pages.columns else sizes(pages)
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("chars"), "page"))
-    ranked = sized.withColumn("dense", rank <= DENSEST)
-    base = ranked.groupBy("path").agg(F.count("*").alias("total_pages"), F.sum("chars").alias("total_chars"), F.count_if("sparse").alias("unindexed_count"))
-    kinds = F.array_compact(F.array(*[F.when(F.col(c), F.lit(k)) for c, k in (("sparse", 0), ("dense", 1), ("table", 2))]))
-    each = ranked.select("path", "page", F.explode(kinds).alias("kind")).unionByName(marks.select("path", "page", F.lit(3).alias("kind"))).where("path is not null")
-    found = ranges(each.select(F.struct("path", "kind").alias("k"), "page"), "k")
-    wide = found.groupBy(F.col("k.path").alias("path")).agg(*[F.max(F.when(F.col("k.kind") == i, F.col("pages"))).alias(n) for i, n in enumerate(names)])
+    return sized.select("path", "page", "chars").withColumn("rn", rank).where(F.col("rn") <= k).drop("rn")
+
+
+def survey(pages: DataFrame, marked: DataFrame, linked: DataFrame | None = None, figured: DataFrame | None = None) -> DataFrame:
+    """Per path: pages, characters, need of chunking, and unindexed, densest, table and marked pages as ranges ('' if none); with `linked` and `figured` (path, page) also those.
+
+    `pages` are those of `sizes`: no text takes part.
+    """
+    base = pages.groupBy("path").agg(F.count("*").alias("total_pages"), F.sum("chars").alias("total_chars"), F.count_if("sparse").alias("unindexed_count"))
+    kinds = F.array_compact(F.array(*[F.when(F.col(c), F.lit(k)) for c, k in (("sparse", 0), ("table", 2))]))
+    each = pages.select("path", "page", F.explode(kinds).alias("kind")).unionByName(densest(pages).select("path", "page", F.lit(1).alias("kind")))
+    for k, extra in ((3, marked), (4, linked), (5, figured)):
+        if extra is not None:
+            each = each.unionByName(extra.select("path", "page", F.lit(k).alias("kind")))
+    found = ranges(each.where("path is not null").select(F.struct("path", "kind").alias("k"), "page"), "k")
+    order = {"unindexed_pages": 0, "densest_pages": 1, "table_pages": 2, "marked_pages": 3, "link_pages": 4, "figure_pages": 5}
+    names = [n for n, e in zip(order, (pages, pages, pages, marked, linked, figured), strict=True) if e is not None]
+    wide = found.groupBy(F.col("k.path").alias("path")).agg(*[F.max(F.when(F.col("k.kind") == order[n], F.col("pages"))).alias(n) for n in names])
     return base.join(wide, "path", "left").select("path", "total_pages", "total_chars", (F.col("total_chars") > CHUNK_CHARS).alias("needs_chunking"), "unindexed_count", *[F.coalesce(n, F.lit("")).alias(n) for n in names])
 
 
+def previews(pages: DataFrame, most: int = 200, chars: int = 60) -> DataFrame:
+    """path, page, chars and the first characters, collapsed, of the first `most` pages of each path."""
+    w = Window.partitionBy("path").orderBy("page")
+    head = pages.select("path", "page", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.substring(collapse(F.substring(F.coalesce("text", F.lit("")), 1, 20 * chars)), 1, chars).alias("preview"))
+    return head.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+
+
+def recovered(pages: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Pages whose text is blank get that of the second extraction (path, page, text) if it has any; other pages stay untouched and don't meet it."""
+    blank = pages.where(F.length(trim(F.coalesce("text", F.lit("")))) == 0)
+    other = fallback.select("path", "page", F.nullif(trim(F.col("text")), F.lit("")).alias("_t"))
+    mended = blank.join(other, ["path", "page"], "left").withColumn("text", F.coalesce("_t", "text")).drop("_t")
+    return pages.where(F.length(trim(F.coalesce("text", F.lit("")))) > 0).unionByName(mended)
+
+
+def empty_pages(pages: DataFrame) -> DataFrame:
+    """path and page of the pages that an export leaves out: those of null or blank text."""
+    return pages.where(F.length(trim(F.coalesce("text", F.lit("")))) == 0).select("path", "page")
+
+
 def better_text(a: Column, b: Column, a_source: Column, b_source: Column) -> Column:
     """Whether incoming text b beats existing text a: paid text first, then usable text, then 1.25 times the length."""
     n, m = F.length(trim(a)), F.length(trim(b))
@@ -122,19 +158,19 @@ def running_keys(pages: DataFrame) -> DataFrame:
 
 
 def strip_running(pages: DataFrame) -> DataFrame:
-    """path, page, text without running first and last lines; other pages keep their text untouched."""
-    keys = running_keys(pages)
-    both = keys.groupBy("path").agg(F.collect_set(F.when(F.col("pos") == "first", F.col("key"))).alias("heads"), F.collect_set(F.when(F.col("pos") == "last", F.col("key"))).alias("feet"))
+    """path, page, text without running first and last lines; other pages keep their text untouched.
+
+    Pages meet the running keys by path, position and key, and without their texts; only pages that
+    lose a line are then rewritten.
+    """
+    first, last = F.element_at("at", 1), F.element_at("at", -1)
     lines = F.split("text", "\n")
     where = F.filter(F.transform(F.col("lines"), lambda x, i: F.when(F.length(trim(x)) > 0, i)), lambda i: i.isNotNull())
-    first, last = F.element_at("at", 1), F.element_at("at", -1)
-    joined = pages.select("path", "page", "text", lines.alias("lines")).withColumn("at", where).join(both, "path", "left")
-
-    def runs(i: Column, among: str) -> Column:
-        line = F.element_at("lines", (i + 1).cast("int"))
-        return F.coalesce(F.array_contains(among, F.lower(clean_heading(line))) & ~line.rlike(r"^[ \t]*[#|]"), F.lit(False))
-
-    enough = F.size("at") >= 3
-    marked = joined.withColumn("h", F.when(enough, runs(first, "heads")).otherwise(False)).withColumn("f", F.when(enough, runs(last, "feet")).otherwise(False))
+    cut = pages.select("path", "page", "text", lines.alias("lines")).withColumn("at", where)
+    key = lambda i: F.when((F.size("at") >= 3) & ~F.element_at("lines", (i + 1).cast("int")).rlike(r"^[ \t]*[#|]"), F.lower(clean_heading(F.element_at("lines", (i + 1).cast("int")))))
+    edges = F.explode(F.array(F.struct(F.lit("first").alias("pos"), key(first).alias("key")), F.struct(F.lit("last").alias("pos"), key(last).alias("key"))))
+    met = cut.select("path", "page", edges.alias("e")).select("path", "page", "e.*").where("key is not null").join(running_keys(pages).select("path", "pos", "key"), ["path", "pos", "key"])
+    lost = met.groupBy("path", "page").agg(F.bool_or(F.col("pos") == "first").alias("h"), F.bool_or(F.col("pos") == "last").alias("f"))
     kept = F.filter("lines", lambda x, i: ~((F.col("h") & (i == first)) | (F.col("f") & (i == last))))
-    return marked.select("path", "page", F.when(F.col("h") | F.col("f"), trim(F.array_join(kept, "\n"))).otherwise(F.col("text")).alias("text"))
+    marked = cut.join(lost, ["path", "page"], "left")
+    return marked.select("path", "page", F.when(F.col("h").isNotNull(), trim(F.array_join(kept, "\n"))).otherwise(F.col("text")).alias("text"))

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from leafmill.catalog import register
 from leafmill.functions import text as T
 from leafmill.operators import chat as C
+from leafmill.operators import messages as M
 from leafmill.operators import pages as P
 from leafmill.operators import reading as R
 from leafmill.operators import search as S
 from leafmill.operators import stores as K
 from leafmill.operators import structure as O
 from leafmill.sources import table
+from leafmill.streaming import settle as E
 
 _WS = " \\t\\n\\r\\f\\v   -     　﻿"
 
@@ -54,6 +56,11 @@ def current(spark: SparkSession, d: str, columns: list[str] | None = None) -> Da
     return P.latest(table(spark, d, "pages").select("path", "page", "row_id", *cols), ["path", "page"], "row_id").drop("row_id")
 
 
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and flags of the latest extraction of each page; texts end at the scan."""
+    return P.latest(P.sizes(table(spark, d, "pages").select("path", "page", "row_id", "text")), ["path", "page"], "row_id").drop("row_id")
+
+
 def first(spark: SparkSession, d: str) -> DataFrame:
     return P.earliest(table(spark, d, "pages").select("path", "page", "row_id", "text", "source"), ["path", "page"], "row_id").drop("row_id")
 
@@ -76,7 +83,7 @@ base AS (SELECT path, count(*) AS total_pages, sum(coalesce(length(text), 0))::B
 SELECT path, total_pages, total_chars, total_chars > 6000 AS needs_chunking, unindexed_count, coalesce(unindexed_pages, '') AS unindexed_pages, coalesce(densest_pages, '') AS densest_pages, coalesce(table_pages, '') AS table_pages, coalesce(marked_pages, '') AS marked_pages
 FROM base LEFT JOIN un USING (path) LEFT JOIN dn USING (path) LEFT JOIN tb USING (path) LEFT JOIN mk USING (path)""")
 def survey_documents(spark: SparkSession, d: str) -> DataFrame:
-    return P.survey(current(spark, d, ["text"]), table(spark, d, "marks"))
+    return P.survey(sized(spark, d), table(spark, d, "marks").select("path", "page"))
 
 
 @register("sparse_pages", f"WITH {CP} SELECT path, page FROM cp WHERE {_N} < 20 QUALIFY row_number() OVER (PARTITION BY path ORDER BY page) <= 50")
@@ -96,7 +103,7 @@ def compress_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @register("densest_pages", f"WITH {CP} SELECT path, page, coalesce(length(text), 0)::INT AS chars FROM cp QUALIFY row_number() OVER (PARTITION BY path ORDER BY chars DESC, page) <= 5")
 def densest_pages(spark: SparkSession, d: str) -> DataFrame:
-    return P.densest(current(spark, d, ["text"]))
+    return P.densest(sized(spark, d))
 
 
 @register("page_merge_reload", f"""WITH {FP}, {CP}, j AS (SELECT coalesce(a.path, b.path) AS path, coalesce(a.page, b.page) AS page, coalesce(a.text, '') AS et, coalesce(b.text, '') AS it, a.source AS es, b.source AS src FROM fp a FULL JOIN cp b ON a.path = b.path AND a.page = b.page),
@@ -108,9 +115,10 @@ def page_merge_reload(spark: SparkSession, d: str) -> DataFrame:
     return P.merge_reload(first(spark, d), current(spark, d))
 
 
-@register("pages_changed", f"WITH {FP}, {CP} SELECT path, bool_or(coalesce(a.text, '') <> coalesce(b.text, '')) AS changed FROM fp a JOIN cp b USING (path, page) GROUP BY path")
+@register("pages_changed", f"WITH {FP}, {CP} SELECT path, bool_or(a.has IS DISTINCT FROM b.has OR a.t <> b.t) AS changed FROM (SELECT path, page, true AS has, coalesce(text, '') AS t FROM fp WHERE page % 7 <> 3) a FULL JOIN (SELECT path, page, true AS has, coalesce(text, '') AS t FROM cp WHERE page % 11 <> 5) b USING (path, page) GROUP BY path")
 def pages_changed(spark: SparkSession, d: str) -> DataFrame:
-    return P.changed(first(spark, d), current(spark, d))
+    """First against latest extractions; each side lacks other pages, so some are added and some gone."""
+    return P.changed(first(spark, d).where("page % 7 <> 3"), current(spark, d).where("page % 11 <> 5"))
 
 
 _LIVE = f"l AS (SELECT path, page, text, list_filter(string_split(text, chr(10)), lambda x: length({_trim('x')}) > 0) AS live FROM cp WHERE text IS NOT NULL)"
@@ -148,7 +156,7 @@ def synthesize_outline(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOT = "tot AS (SELECT path, max(total_pages) AS total FROM docmodels GROUP BY path)"
-_USE = f"us AS (SELECT o.path, ord, title, page, level, coalesce(total, 0) AS total FROM outline o LEFT JOIN tot USING (path) WHERE length({_trim('title')}) > 0 AND page IS NOT NULL AND (coalesce(total, 0) <= 0 OR page BETWEEN 1 AND total))"
+_USE = f"us AS (SELECT o.path, ord, title, page, level, coalesce(total, 0) AS total FROM outline o LEFT JOIN tot USING (path) WHERE length({_trim('title')}) > 0 AND page >= 1 AND (coalesce(total, 0) <= 0 OR page <= total))"
 
 
 def usable(spark: SparkSession, d: str) -> DataFrame:
@@ -166,14 +174,13 @@ def resolved_outline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("section_ranges", f"""WITH {_TOT}, {_USE}, e AS (SELECT *, (SELECT arg_min(b.page, b.ord) FROM us b WHERE b.path = a.path AND b.ord > a.ord AND b.level <= a.level) AS nxt FROM us a)
-SELECT path, ord, title, page AS start_page, greatest(page, CASE WHEN total > 0 THEN least(coalesce(n, total), total) ELSE coalesce(n, page) END) AS end_page FROM
-(SELECT *, CASE WHEN nxt IS NOT NULL THEN greatest(page, nxt - 1) END AS n FROM e)""")
+SELECT path, ord, title, page AS start_page, CASE WHEN total > 0 THEN greatest(page, least(CASE WHEN nxt IS NULL THEN total ELSE greatest(page, nxt - 1) END, total)) ELSE page END AS end_page FROM e""")
 def section_ranges(spark: SparkSession, d: str) -> DataFrame:
     return O.section_ranges(usable(spark, d))
 
 
 @register("active_heading", f"""WITH {CP}, {_TOT}, {_USE} SELECT path, page, h.ord AS ord, h.title AS title FROM (
-SELECT c.path, c.page, (SELECT arg_max({{'ord': u.ord, 'title': u.title}}, u.page * 100000 + u.ord) FROM us u WHERE u.path = c.path AND u.page <= c.page) AS h FROM cp c)""")
+SELECT c.path, c.page, (SELECT arg_max({{'ord': u.ord, 'title': u.title}}, u.ord) FROM us u WHERE u.path = c.path AND u.ord < coalesce((SELECT min(x.ord) FROM us x WHERE x.path = c.path AND x.page > c.page), 1000000)) AS h FROM cp c)""")
 def active_heading(spark: SparkSession, d: str) -> DataFrame:
     return O.active_heading(current(spark, d, ["text"]), usable(spark, d))
 
@@ -197,7 +204,7 @@ def markdown_plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q = "calibration"
-HITS = f"""{CP}, {PLAIN}, sp AS (SELECT path, page, plain, string_split(lower(plain), '{_Q}') AS ps FROM pl WHERE contains(lower(plain), '{_Q}')),
+HITS = f"""{CP}, {PLAIN}, np AS (SELECT path, page, nfc_normalize(plain) AS plain FROM pl), sp AS (SELECT path, page, plain, string_split(lower(plain), '{_Q}') AS ps FROM np WHERE contains(lower(plain), '{_Q}')),
 ix AS (SELECT path, page, plain, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * {len(_Q)})::INT AS idx FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM sp)),
 hits AS (SELECT path, page, idx, plain[idx + 1 : idx + {len(_Q)}] AS match, (CASE WHEN idx > 80 THEN '…' ELSE '' END) || {_collapse(f"plain[greatest(0, idx - 80) + 1 : idx + {len(_Q)} + 80]")} AS snippet FROM ix)"""
 
@@ -226,19 +233,83 @@ def message_search(spark: SparkSession, d: str) -> DataFrame:
     return S.message_hits(messages(spark, d), "notice")
 
 
-@register("read_page_slice", f"WITH {CP} SELECT path, page, coalesce(text, '')[1:1000] AS text, least(1000, length(coalesce(text, '')))::INT AS chars, length(coalesce(text, '')) > 1000 AS truncated, CASE WHEN length(coalesce(text, '')) > 1000 THEN 1000 END AS next_offset FROM cp WHERE page = 2")
+@register("search_accents", "WITH " + HITS.replace(_Q, "préavis").replace(str(len(_Q)), str(len("préavis"))) + " SELECT path, page, idx, match, snippet FROM hits")
+def search_accents(spark: SparkSession, d: str) -> DataFrame:
+    return S.hits(current(spark, d, ["text"]), "Préavis")
+
+
+@register("search_preview", f"""WITH {HITS}, b AS (SELECT *, {_collapse("snippet")} AS raw, row_number() OVER (PARTITION BY path ORDER BY page, idx) AS rn FROM hits),
+t AS (SELECT path, string_agg('p.' || page || ': ' || raw[1:48] || CASE WHEN length(raw) > 48 THEN '…' ELSE '' END, '; ' ORDER BY rn) AS snippets FROM b WHERE rn <= 2 GROUP BY path)
+SELECT path, n AS pages, snippets, 'Matches on ' || n || ' page(s) — ' || snippets AS message FROM t JOIN (SELECT path, count(DISTINCT page) AS n FROM hits GROUP BY path) USING (path)""")
+def search_preview(spark: SparkSession, d: str) -> DataFrame:
+    return S.preview(S.hits(current(spark, d, ["text"]), _Q))
+
+
+@register("search_unindexed", f"""WITH {HITS}, un AS ({_ranges(f"(SELECT * FROM cp WHERE {_N} < 20)", "page", "unindexed_pages")}), c AS (SELECT path, count(*) AS n FROM cp WHERE {_N} < 20 GROUP BY path)
+SELECT path, page, idx, coalesce(n, 0) AS unindexed_count, coalesce(unindexed_pages, '') AS unindexed_pages FROM hits LEFT JOIN c USING (path) LEFT JOIN un USING (path)""")
+def search_unindexed(spark: SparkSession, d: str) -> DataFrame:
+    pages = current(spark, d, ["text"])
+    return S.with_unindexed(S.hits(pages, _Q).select("path", "page", "idx"), pages)
+
+
+@register("read_page_slice", f"""WITH {CP}, t AS (SELECT path, page, coalesce(text, '') AS t FROM cp), o AS (SELECT path, page, t, unnest(range(0, greatest(length(t), 1), 6000)) AS o FROM t)
+SELECT path, page, o::INT AS "offset", t[o + 1 : o + 6000] AS text, length(t[o + 1 : o + 6000])::INT AS chars, length(t) > o + 6000 AS truncated, (CASE WHEN length(t) > o + 6000 THEN o + 6000 END)::INT AS next_offset FROM o""")
 def read_page_slice(spark: SparkSession, d: str) -> DataFrame:
-    return R.page_slice(current(spark, d, ["text"]), 2, 0, 1000)
+    return R.page_slices(current(spark, d, ["text"]))
+
 
+def _read(asked: str, most: int, known: str = "false", used: int = 0, budget: int = 200_000, scans: int | None = None) -> str:
+    """CTEs that walk the pages of `asked` (path, a, b, o) by the rule of reading, one page after the other."""
+    mark = len(R.ALREADY_READ)
+    skip = "false" if scans is None else f"(blank AND sum(blank::INT) OVER (PARTITION BY path ORDER BY page) > {scans})"
+    return f"""asked AS ({asked}), r0 AS (SELECT c.path, c.page, coalesce(text, '') AS t, {_N} < 20 AS blank, a, o, ({known}) AS known FROM cp c JOIN asked USING (path) WHERE page BETWEEN a AND b),
+r1 AS (SELECT *, {skip} AS skip, CASE WHEN page = a THEN least(o, length(t)) ELSE 0 END AS sh FROM r0),
+r2 AS (SELECT *, substr(t, sh + 1) AS rest, known AND sh = 0 AS seen, '--- Page ' || page || CASE WHEN sh > 0 THEN ' (cont.)' ELSE '' END || ' ---' || chr(10) AS head, sum((NOT skip)::INT) OVER (PARTITION BY path ORDER BY page) > 1 AS later FROM r1),
+r3 AS (SELECT *, CASE WHEN skip THEN 0 ELSE length(head) + CASE WHEN later THEN 2 ELSE 0 END END AS frame, CASE WHEN skip THEN 0 WHEN seen THEN {mark} ELSE length(rest) END AS body, CASE WHEN skip OR seen THEN 0 ELSE length(rest) END AS cost FROM r2),
+r4 AS (SELECT *, coalesce(sum(frame + body) OVER w, 0) AS far, {used} + coalesce(sum(cost) OVER w, 0) AS spent FROM r3 WINDOW w AS (PARTITION BY path ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r5 AS (SELECT *, least({most} - far, {budget} - spent) - frame AS room, {budget} - spent <= {most} - far AS tight FROM r4),
+r6 AS (SELECT *, spent >= {budget} OR (NOT skip AND (room <= 0 OR length(rest) > room)) AS ends FROM r5),
+r7 AS (SELECT *, min(page) FILTER (ends) OVER (PARTITION BY path) AS stop FROM r6),
+r8 AS (SELECT *, head || CASE WHEN ends THEN rest[1:room] WHEN seen THEN '{R.ALREADY_READ}' ELSE rest END AS x FROM r7 WHERE NOT skip AND (stop IS NULL OR page < stop OR (page = stop AND spent < {budget} AND room > 0))),
+got AS (SELECT path, string_agg(x, chr(10) || chr(10) ORDER BY page) AS text, max(page) AS end_page, sum(frame - length(head) + length(x)) AS chars, sum(CASE WHEN seen AND NOT ends THEN 0 ELSE length(x) - length(head) END) AS charged, string_agg(CASE WHEN NOT seen OR ends THEN page::VARCHAR END, ',' ORDER BY page) AS pages FROM r8 GROUP BY path),
+fin AS (SELECT path, page AS next_page, CASE WHEN spent >= {budget} THEN CASE WHEN page = a THEN o ELSE 0 END WHEN room <= 0 THEN sh ELSE sh + room END AS next_offset, spent >= {budget} OR tight AS budget_exceeded FROM r7 WHERE page = stop),
+sk AS ({_ranges(f"(SELECT * FROM r7 WHERE skip AND (stop IS NULL OR page < stop))", "page", "unscanned")}),
+res AS (SELECT path, coalesce(text, '') AS text, coalesce(chars, 0)::BIGINT AS char_count, coalesce(charged, 0)::BIGINT AS charged, end_page, next_page, next_offset::INT AS next_offset, next_page IS NOT NULL AS truncated, coalesce(budget_exceeded, false) AS budget_exceeded, coalesce(unscanned, '') AS unscanned, coalesce(pages, '') AS pages
+FROM (SELECT DISTINCT path FROM asked) LEFT JOIN got USING (path) LEFT JOIN fin USING (path) LEFT JOIN sk USING (path))"""
 
-@register("read_range_budget", f"""WITH {CP}, r AS (SELECT path, page, coalesce(text, '') AS t, '--- Page ' || page || ' ---' || chr(10) AS header, row_number() OVER (PARTITION BY path ORDER BY page) AS rn FROM cp WHERE page BETWEEN 1 AND 6),
-f AS (SELECT *, length(header) + CASE WHEN rn > 1 THEN 2 ELSE 0 END AS frame FROM r),
-b AS (SELECT *, 3000 - coalesce(sum(frame + length(t)) OVER (PARTITION BY path ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - frame AS room FROM f),
-g AS (SELECT path, string_agg(header || t[1:room], chr(10) || chr(10) ORDER BY page) AS text, sum(length(t[1:room]))::BIGINT AS charged, max(page) AS end_page, min(page) FILTER (length(t) > room) AS cp2, arg_min(room, page) FILTER (length(t) > room) AS cn FROM b WHERE room > 0 GROUP BY path),
-o AS (SELECT path, min(page) AS op FROM b WHERE room <= 0 GROUP BY path)
-SELECT path, text, charged, end_page, coalesce(cp2, op) AS next_page, (CASE WHEN coalesce(cp2, op) IS NOT NULL THEN coalesce(cn, 0) END)::INT AS next_offset FROM g LEFT JOIN o USING (path)""")
+
+def _all_paths(a: int, b: int, o: int = 0) -> str:
+    return f"SELECT DISTINCT path, {a} AS a, {b} AS b, {o} AS o FROM cp WHERE path IS NOT NULL"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("pages", F.array_join("pages", ","))
+
+
+@register("read_range_budget", f"WITH {CP}, {_read(_all_paths(1, 6), 3000)} SELECT * FROM res")
 def read_range_budget(spark: SparkSession, d: str) -> DataFrame:
-    return R.read_range(current(spark, d, ["text"]), 1, 6, 3000)
+    return _shown(R.read_range(current(spark, d, ["text"]), 1, 6, 3000))
+
+
+@register("read_range_resume", f"WITH {CP}, {_read(_all_paths(2, 9, 700), 4000, used=1000, budget=4500)} SELECT * FROM res")
+def read_range_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Pages 2 to 9 from an offset, with part of the run's budget spent; the bounds come inverted."""
+    return _shown(R.read_ranges(current(spark, d, ["text"]), current(spark, d, ["row_id"]).select("path").where("path is not null").distinct().select("path", F.lit(2).alias("first_page"), F.lit(9).alias("last_page"), F.lit(700).alias("offset")), 4000, used=1000, budget=4500))
+
+
+@register("read_range_delivered", f"WITH {CP}, {_read(_all_paths(1, 8), 5000, 'page % 3 = 1', scans=1)} SELECT * FROM res")
+def read_range_delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Every third page was delivered before, and one page may be scanned."""
+    pages = current(spark, d, ["text"])
+    return _shown(R.read_range(pages, 1, 8, 5000, delivered=sized(spark, d).where("page % 3 = 1").select("path", "page"), scans=1))
+
+
+@register("read_section", f"""WITH {CP}, {_TOT}, {_USE}, e AS (SELECT *, (SELECT arg_min(b.page, b.ord) FROM us b WHERE b.path = a.path AND b.ord > a.ord AND b.level <= a.level) AS nxt FROM us a),
+se AS (SELECT path, ord, title, page AS a, CASE WHEN total > 0 THEN greatest(page, least(CASE WHEN nxt IS NULL THEN total ELSE greatest(page, nxt - 1) END, total)) ELSE page END AS b FROM e),
+ti AS (SELECT *, lower({_trim("title")}) AS t FROM us), pick AS (SELECT path, arg_min(ord, {{'a': (t <> 'annex')::INT, 'b': CASE WHEN t = 'annex' THEN 0 ELSE length(title) END, 'c': ord}}) AS ord FROM ti WHERE contains(t, 'annex') OR contains('annex', t) GROUP BY path),
+{_read("SELECT path, a, b, 0 AS o FROM se JOIN pick USING (path, ord)", 6000)} SELECT res.*, title AS section FROM res JOIN pick USING (path) JOIN se USING (path, ord)""")
+def read_section(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(R.read_section(current(spark, d, ["text"]), usable(spark, d), "Annex"))
 
 
 @register("evict_greedy_budget", f"""WITH RECURSIVE {CP}, z AS (SELECT path, string_split(path, '/')[3] AS folder, sum(coalesce(length(text), 0))::BIGINT AS size, max(row_id) AS saved FROM pages GROUP BY path),
@@ -294,7 +365,7 @@ st AS (SELECT DISTINCT path, supersedes FROM fnd WHERE supersedes IS NOT NULL)
 SELECT n.path, n.id, claim FROM nw n WHERE len(pages) > 0 AND length(claim) > 0 AND (supersedes IS NULL OR NOT EXISTS (FROM st WHERE st.path = n.path AND st.supersedes = n.supersedes))""")
 def record_new_findings(spark: SparkSession, d: str) -> DataFrame:
     store = findings(spark, d)
-    new = store.select("path", F.concat(F.lit("n_"), "id").alias("id"), "pages", "claim", F.when(F.col("struck"), F.col("id")).alias("supersedes"))
+    new = store.select("path", F.concat(F.lit("n_"), "id").alias("id"), "pages", "claim", F.when(F.col("struck"), F.col("id")).alias("supersedes"), "created_at")
     return K.add_findings(store, new).select("path", "id", "claim")
 
 
@@ -315,14 +386,27 @@ def chat_prune_oldest(spark: SparkSession, d: str) -> DataFrame:
     return K.prune_chats(table(spark, d, "messages").groupBy("path").agg(F.min("arrived_at").alias("inserted")), mru_recents(spark, d))
 
 
-@register("doc_export_markdown", f"WITH {CP} SELECT path, string_agg('<!-- page ' || page || ' -->' || chr(10) || chr(10) || {_trim('text')}, chr(10) || chr(10) ORDER BY page) AS markdown FROM cp WHERE length({_trim('text')}) > 0 GROUP BY path")
+@register("doc_export_markdown", f"""WITH {CP}, m AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page, created_at, id, row_id) AS pos FROM (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY path, id ORDER BY row_id) = 1)),
+h AS (SELECT path, min(name) AS name, max(title) AS title FROM docmodels GROUP BY path), hh AS (SELECT path, name, nullif({_trim("coalesce(title, '')")}, '') AS title FROM h)
+SELECT path, 0 AS part, 0::BIGINT AS ord, '# ' || coalesce(title, name) || CASE WHEN title <> name THEN chr(10) || chr(10) || '**Source:** ' || name ELSE '' END AS block FROM hh
+UNION ALL SELECT path, 1, pos, CASE WHEN pos = 1 THEN '## Marks' || chr(10) || chr(10) ELSE '' END || '- **p. ' || page || '** — ' || coalesce(nullif(text, ''), '(no text)') || CASE WHEN length(note) > 0 THEN chr(10) || '  - ' || note ELSE '' END FROM m
+UNION ALL SELECT path, 2, page, '<!-- page ' || page || ' -->' || chr(10) || chr(10) || {_trim('text')} FROM cp WHERE length({_trim('text')}) > 0""")
 def doc_export_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return K.export_markdown(current(spark, d, ["text"]))
+    docs = table(spark, d, "docmodels").groupBy("path").agg(F.min("name").alias("name"), F.max("title").alias("title"))
+    return K.export_blocks(current(spark, d, ["text"]), docs, marks_once(spark, d))
+
+
+def marks_once(spark: SparkSession, d: str) -> DataFrame:
+    """Each mark as it was delivered first."""
+    return P.earliest(table(spark, d, "marks"), ["path", "id"], "row_id")
+
+
+MK = "mk1 AS (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY path, id ORDER BY row_id) = 1)"
 
 
 @register("cache_stats", f"WITH {CP} SELECT count(DISTINCT path) AS docs, count(*) AS pages, sum(coalesce(length(text), 0))::BIGINT AS chars FROM cp")
 def cache_stats(spark: SparkSession, d: str) -> DataFrame:
-    return current(spark, d, ["text"]).agg(F.count_distinct("path").alias("docs"), F.count("*").alias("pages"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    return K.cache_totals(sized(spark, d))
 
 
 @register("fresh_cache_join", f"WITH {CP}, cur AS (SELECT DISTINCT path, stamp FROM docmodels) SELECT path, page FROM cp SEMI JOIN cur USING (path, stamp) WHERE source = 'vision'")
@@ -346,13 +430,13 @@ def tool_step_buckets(spark: SparkSession, d: str) -> DataFrame:
     return C.bucket_counts(C.tool_steps(messages(spark, d)))
 
 
-@register("tool_step_details", f"WITH {STEPS} SELECT path, key, n, page, row_number() OVER (PARTITION BY path ORDER BY f)::INT AS ord FROM (SELECT path, key, count(*) AS n, arg_min(page, seq * 1000 + pos) AS page, min(seq * 1000 + pos) AS f FROM steps GROUP BY path, key)")
+@register("tool_step_details", f"WITH {STEPS} SELECT path, key, n, label, page, row_number() OVER (PARTITION BY path ORDER BY f)::INT AS ord FROM (SELECT path, key, count(*) AS n, arg_min(CASE WHEN tool = 'read_pdf_page' THEN 'Read page ' || regexp_extract(key, ':(.*)$', 1) WHEN tool = 'read_pdf_range' THEN 'Read pages ' || regexp_extract(key, ':(.*)$', 1) WHEN bucket = 'search' THEN 'Search ' || regexp_extract(key, ':(.*)$', 1) WHEN bucket = 'index' THEN 'Survey' ELSE tool END, seq * 1000 + pos) AS label, arg_min(page, seq * 1000 + pos) AS page, min(seq * 1000 + pos) AS f FROM steps GROUP BY path, key)")
 def tool_step_details(spark: SparkSession, d: str) -> DataFrame:
     return C.step_details(C.tool_steps(messages(spark, d)))
 
 
 @register("run_plan_phases", f"""WITH {STEPS}, c AS (SELECT path, count(*) FILTER (bucket = 'index') AS a, count(*) FILTER (bucket = 'search') AS b, count(*) FILTER (bucket IN ('read', 'other')) AS r FROM steps GROUP BY path)
-SELECT path, 0 AS ord, 'survey' AS phase, a AS steps FROM c UNION ALL SELECT path, 1, 'locate', b FROM c UNION ALL SELECT path, 2, 'read', r FROM c UNION ALL SELECT path, 3, 'answer', 0 FROM c""")
+SELECT path, 0 AS ord, 'survey' AS phase, a AS steps, 'done' AS state FROM c UNION ALL SELECT path, 1, 'locate', b, 'done' FROM c UNION ALL SELECT path, 2, 'read', r, 'done' FROM c UNION ALL SELECT path, 3, 'answer', 0, 'done' FROM c""")
 def run_plan_phases(spark: SparkSession, d: str) -> DataFrame:
     return C.run_plan(C.tool_steps(messages(spark, d)))
 
@@ -364,40 +448,69 @@ def usage_totals(spark: SparkSession, d: str) -> DataFrame:
     return C.usage_totals(messages(spark, d))
 
 
-@register("step_durations", f"""WITH {MSG}, g AS (SELECT path, seq, id, metadata.finished_at - lag(metadata.finished_at) OVER (PARTITION BY path ORDER BY seq, id) AS gap FROM msg WHERE role = 'assistant')
+@register("step_durations", f"""WITH {MSG}, g AS (SELECT path, seq, id, metadata.finished_at - CASE WHEN row_number() OVER w = 1 THEN metadata.started_at ELSE lag(metadata.finished_at) OVER w END AS gap FROM msg WHERE role = 'assistant' WINDOW w AS (PARTITION BY path ORDER BY seq, id))
 SELECT path, seq, id, (CASE WHEN gap IS NOT NULL THEN greatest(0, gap) END)::BIGINT AS gap_ms FROM g""")
 def step_durations(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    gap = C.message_gaps(m)
-    return gap.select("path", "seq", "id", F.col("gap_ms").cast("bigint").alias("gap_ms"))
+    return C.message_gaps(messages(spark, d)).select("path", "seq", "id", F.col("gap_ms").cast("bigint").alias("gap_ms"))
 
 
 _TL = "coalesce(length(json_extract_string(output, '$.text')), TRY_CAST(json_extract_string(output, '$.charCount') AS INT), length(output), 0)"
 
 
-@register("compact_tool_outputs", f"""WITH {STEPS} SELECT path, seq, id, pos::INT AS pos, CASE WHEN output LIKE '% — omitted from chat history]' OR output = '[cancelled]' OR coalesce(CASE WHEN json_valid(output) THEN json_extract_string(output, '$.budgetExceeded') END = 'true', false) THEN output
+_LINE = f"""CASE WHEN output LIKE '% — omitted from chat history]' OR output = '[cancelled]' OR coalesce(CASE WHEN json_valid(output) THEN json_extract_string(output, '$.budgetExceeded') END = 'true', false) THEN output
 WHEN tool = 'read_pdf_page' AND {_ARG.format("page")} IS NOT NULL THEN '[Read page ' || {_ARG.format("page")} || ', ' || {_TL} || ' chars — omitted from chat history]'
 WHEN tool = 'read_pdf_range' THEN '[Read ' || CASE WHEN {_ARG.format("start")} IS NULL OR {_ARG.format("end")} IS NULL THEN 'page range' WHEN {_ARG.format("start")} = {_ARG.format("end")} THEN 'page ' || {_ARG.format("start")} ELSE 'pages ' || {_ARG.format("start")} || '–' || {_ARG.format("end")} END || ', ' || {_TL} || ' chars — omitted from chat history]'
-WHEN tool = 'document_outline' THEN '[Document index, ' || {_TL} || ' chars — omitted from chat history]' ELSE output END AS output FROM steps WHERE output IS NOT NULL""")
+WHEN tool = 'search_in_document' THEN '[Search "' || coalesce({_ARG.format("query")}, 'query')[1:40] || '", ' || coalesce(CASE WHEN json_type(output, '$.hits') = 'ARRAY' THEN json_array_length(output, '$.hits') WHEN json_valid(output) AND json_type(output) = 'ARRAY' THEN json_array_length(output) END, {_TL}) || ' hits — omitted from chat history]'
+WHEN tool = 'read_section' THEN '[Read section "' || coalesce({_ARG.format("title")}, 'section')[1:60] || '", ' || {_TL} || ' chars — omitted from chat history]'
+WHEN tool = 'document_outline' THEN '[Document index, ' || {_TL} || ' chars — omitted from chat history]' ELSE output END"""
+
+
+@register("compact_tool_outputs", f"WITH {STEPS} SELECT path, seq, id, pos::INT AS pos, {_LINE} AS output FROM steps WHERE output IS NOT NULL")
 def compact_tool_outputs(spark: SparkSession, d: str) -> DataFrame:
     return C.compact_outputs(C.tool_steps(messages(spark, d)))
 
 
+@register("compact_run", f"""WITH {STEPS}, z AS (SELECT *, sum({_TL}) OVER w AS total, row_number() OVER w AS rn FROM steps WHERE output IS NOT NULL AND tool IN ('document_outline', 'search_in_document', 'read_pdf_page', 'read_pdf_range', 'read_section') WINDOW w AS (PARTITION BY path ORDER BY seq DESC, pos DESC))
+SELECT path, seq, id, pos::INT AS pos, CASE WHEN total > 16000 AND rn > 1 THEN {_LINE} ELSE output END AS output FROM z UNION ALL
+SELECT path, seq, id, pos::INT, output FROM steps WHERE output IS NOT NULL AND tool NOT IN ('document_outline', 'search_in_document', 'read_pdf_page', 'read_pdf_range', 'read_section')""")
+def compact_run(spark: SparkSession, d: str) -> DataFrame:
+    return C.compact_run(C.tool_steps(messages(spark, d)))
+
+
+_SHOW = "array_to_string(list_transform(ps, lambda p: concat_ws('|', p.type, p.state, p.text, p.output)), '¶')"
+
+
 @register("repair_dangling_tools", f"""WITH {MSG}, k AS (SELECT path, seq, id, list_filter(parts, lambda p: NOT (p.type LIKE 'tool-%' AND coalesce(p.state = 'input-streaming', false))) AS ps FROM msg)
-SELECT path, seq, id, array_to_string(list_transform(ps, lambda p: concat_ws('|', p.type, CASE WHEN p.type LIKE 'tool-%' AND p.state = 'input-available' THEN '[cancelled]' ELSE p.state END)), ';') AS parts FROM k WHERE len(ps) > 0""")
+SELECT path, seq, id, array_to_string(list_transform(ps, lambda p: CASE WHEN p.type LIKE 'tool-%' AND coalesce(p.state = 'input-available', false) THEN concat_ws('|', p.type, 'output-available', p.text, '[cancelled]') ELSE concat_ws('|', p.type, p.state, p.text, p.output) END), '¶') AS parts FROM k WHERE len(ps) > 0""")
 def repair_dangling_tools(spark: SparkSession, d: str) -> DataFrame:
-    return C.repair_dangling(messages(spark, d))
+    return C.repair_dangling(messages(spark, d)).select("path", "seq", "id", C.shown_parts().alias("parts"))
 
 
-@register("strip_reasoning", f"WITH {MSG}, k AS (SELECT path, seq, id, CASE WHEN role = 'assistant' THEN list_filter(parts, lambda p: p.type <> 'reasoning') ELSE parts END AS ps FROM msg) SELECT path, seq, id, len(ps)::INT AS n_parts FROM k WHERE len(ps) > 0")
+@register("strip_reasoning", f"WITH {MSG}, k AS (SELECT path, seq, id, CASE WHEN role = 'assistant' THEN list_filter(parts, lambda p: p.type <> 'reasoning') ELSE parts END AS ps FROM msg) SELECT path, seq, id, {_SHOW} AS parts FROM k WHERE len(ps) > 0")
 def strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
-    return C.strip_reasoning(messages(spark, d))
+    return C.strip_reasoning(messages(spark, d)).select("path", "seq", "id", C.shown_parts().alias("parts"))
+
+
+@register("strip_files", f"""WITH {MSG}, l AS (SELECT path, max({{'s': seq, 'i': id}}) AS last FROM msg WHERE role = 'user' GROUP BY path),
+k AS (SELECT msg.path, seq, id, CASE WHEN role <> 'user' OR {{'s': seq, 'i': id}} = last OR len(list_filter(parts, lambda p: p.type = 'file')) = 0 THEN parts ELSE list_filter(parts, lambda p: p.type <> 'file') END AS ps, parts FROM msg LEFT JOIN l USING (path))
+SELECT path, seq, id, CASE WHEN len(ps) = 0 AND len(parts) > 0 THEN 'text| ' ELSE {_SHOW} END AS parts FROM k""")
+def strip_files(spark: SparkSession, d: str) -> DataFrame:
+    return M.strip_files(messages(spark, d), True).select("path", "seq", "id", C.shown_parts().alias("parts"))
 
 
-@register("read_trail", f"""WITH {STEPS}, r AS (SELECT path, TRY_CAST({_ARG.format("page")} AS INT) AS pg, TRY_CAST({_ARG.format("start")} AS INT) AS a, TRY_CAST({_ARG.format("end")} AS INT) AS b, tool FROM steps WHERE tool IN ('read_pdf_page', 'read_pdf_range') AND coalesce(output, '') <> '[cancelled]'),
-e AS (SELECT DISTINCT path, page FROM (SELECT path, unnest(CASE WHEN tool = 'read_pdf_page' THEN [pg::BIGINT] WHEN b >= a THEN range(a, least(b, a + 300) + 1) END) AS page FROM r) WHERE page >= 1) SELECT path, page::INT AS page FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY page) <= 300""")
+_ITP = "json_extract_string(p.input, '$.{}')"
+_OTP = "json_extract_string(p.output, '$.{}')"
+_INT = lambda x: f"TRY_CAST({x} AS INT)"
+
+
+@register("read_trail", f"""WITH {MSG}, q AS (SELECT path, seq, id, unnest(parts) AS p FROM msg WHERE role = 'assistant'),
+r AS (SELECT path, seq, id, p.type AS type, {_INT(_ITP.format("page"))} AS pg, {_INT(_ITP.format("start"))} AS a, {_INT(_ITP.format("end"))} AS b, {_INT(_OTP.format("startPage"))} AS oa, {_INT(_OTP.format("endPage"))} AS ob FROM q
+WHERE p.state IN ('input-available', 'output-available') AND p.type LIKE 'tool-%' AND NOT coalesce(p.output = '[cancelled]' OR ({_OTP.format("budgetExceeded")} = 'true' AND {_INT(_OTP.format("charCount"))} = 0), false)),
+s AS (SELECT *, CASE WHEN coalesce(ob >= oa, false) THEN oa WHEN type = 'tool-read_pdf_range' THEN a END AS x, CASE WHEN coalesce(ob >= oa, false) THEN ob WHEN type = 'tool-read_pdf_range' THEN greatest(a, b) END AS y FROM r),
+t AS (SELECT path, seq, id, unnest(CASE WHEN type = 'tool-read_pdf_page' THEN CASE WHEN pg >= 1 THEN [pg::BIGINT] END WHEN type IN ('tool-read_pdf_range', 'tool-read_section') AND x >= 1 THEN range(x, least(y, x + 300) + 1) END) AS page FROM s)
+SELECT DISTINCT path, seq, id, page::INT AS page FROM t""")
 def read_trail(spark: SparkSession, d: str) -> DataFrame:
-    return C.read_trail(C.tool_steps(messages(spark, d)))
+    return C.read_trail(messages(spark, d))
 
 
 @register("intent_flags", f"""WITH {MSG}, v AS (SELECT path, seq, id, {_VIS} AS t FROM msg WHERE role = 'user') SELECT path, seq, id, regexp_matches(t, '{C.CURRENT_PAGE.replace("'", "''")}') AS current_page, regexp_matches(t, '{C.WHOLE_DOCUMENT}') AS whole_document, NOT regexp_matches(t, '{C.WHOLE_DOCUMENT}') AND regexp_matches(t, '{C.FACTUAL}') AS factual FROM v""")
@@ -424,19 +537,14 @@ def claim_from_answer(spark: SparkSession, d: str) -> DataFrame:
 @register("settle_events", """WITH e AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id FROM events), s AS (SELECT * FROM e WHERE n IS NULL OR n - ts >= INTERVAL 30 MINUTE),
 p AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM s) SELECT user_id, ts, event_type FROM p WHERE b IS NULL OR b <> event_type""")
 def settle_events(spark: SparkSession, d: str) -> DataFrame:
-    from leafmill.streaming.settle import settled  # noqa: PLC0415
+    return E.settled(table(spark, d, "events"), "user_id", "ts", "event_type", "event_id", 30 * 60)
 
-    return settled(table(spark, d, "events"), "user_id", "ts", "event_type", "event_id", 30 * 60)
 
-
-@register("generation_guard", f"WITH m AS (SELECT path, max(stamp) AS now FROM docmodels GROUP BY path), {CP} SELECT path, page FROM cp JOIN m USING (path) WHERE cp.stamp = m.now")
+@register("generation_guard", f"WITH {CP}, m AS (SELECT path, max(stamp) AS stamp FROM cp GROUP BY path) SELECT path, page FROM cp SEMI JOIN m USING (path, stamp)")
 def generation_guard(spark: SparkSession, d: str) -> DataFrame:
-    now = table(spark, d, "docmodels").groupBy("path").agg(F.max("stamp").alias("now"))
-    return current(spark, d, ["stamp"]).join(now, "path").where("stamp = now").select("path", "page")
+    return E.current_generation(current(spark, d, ["stamp"]), "path", "stamp").select("path", "page")
 
 
 @register("index_state_latest", "SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'view'")
 def index_state_latest(spark: SparkSession, d: str) -> DataFrame:
-    from leafmill.streaming.settle import latest_state  # noqa: PLC0415
-
-    return latest_state(table(spark, d, "events"), "user_id", "event_type", "event_id", "view")
+    return E.latest_state(table(spark, d, "events"), "user_id", "event_type", "event_id", "view")

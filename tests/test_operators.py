@@ -128,9 +128,10 @@ def test_sections(spark):
 def test_reading(spark):
     long = "".join(f"{i:06d}" for i in range(2000))
     df = pages(spark, ("d", 1, long), ("d", 2, "second"), ("e", 1, None))
-    first = R.page_slice(df, 1, 0, 1000).where("path = 'd'").first()
-    rest = R.page_slice(df, 1, 1000, 20000).where("path = 'd'").first()
-    assert first.truncated and first.next_offset == 1000 and first.text + rest.text == long and rest.next_offset is None
+    cut = R.page_slices(df, 1000).where("path = 'd' and page = 1").orderBy("offset").collect()
+    assert len(cut) == 12 and "".join(r.text for r in cut) == long
+    assert [r.next_offset for r in cut] == [*range(1000, 12000, 1000), None] and [r.truncated for r in cut] == [True] * 11 + [False]
+    assert [(r.text, r.chars, r.next_offset) for r in R.page_slices(df).where("path = 'e'").collect()] == [("", 0, None)]
     got = {r.path: r for r in R.read_range(df, 1, 2, 500).collect()}
     assert got["d"].charged == 500 - len("--- Page 1 ---\n") and (got["d"].next_page, got["d"].next_offset) == (1, got["d"].charged)
     assert got["e"].text == "--- Page 1 ---\n" and got["e"].next_page is None
@@ -191,12 +192,14 @@ def test_tools(spark):
     assert out == ["[Read page 3, 5234 chars — omitted from chat history]", "[Read pages 4–5, 7 chars — omitted from chat history]", "[cancelled]"]
     again = C.compact_outputs(steps.join(C.compact_outputs(steps).withColumnRenamed("output", "o"), ["path", "seq", "id", "pos"]).drop("output").withColumnRenamed("o", "output"))
     assert [r.output for r in again.orderBy("pos").collect()] == out
-    assert sorted(r.page for r in C.read_trail(steps).collect()) == [3, 4, 5]
+    assert sorted(r.page for r in C.read_trail(m).collect()) == [3, 4, 5]
     assert C.bucket_counts(steps).first().asDict() == {"path": "d", "search": 1, "read": 3, "index": 0, "other": 1}
     assert [(r.key, r.n, r.page) for r in C.step_details(steps).orderBy("ord").collect()] == [("read:3", 2, 3), ("range:4-5", 1, 4), ("search:q", 1, None), ("other:read_figure", 1, None)]
-    assert [(r.phase, r.steps) for r in C.run_plan(steps).orderBy("ord").collect()] == [("survey", 0), ("locate", 1), ("read", 4), ("answer", 0)]
-    assert "input-streaming" not in C.repair_dangling(m).first().parts and "[cancelled]" in C.repair_dangling(m).first().parts
-    assert C.strip_reasoning(m).collect()[0].n_parts == 5
+    assert [r.label for r in C.step_details(steps).orderBy("ord").collect()] == ["Read page 3", "Read pages 4-5", "Search q", "read_figure"]
+    assert [(r.phase, r.steps, r.state) for r in C.run_plan(steps).orderBy("ord").collect()] == [("survey", 0, "done"), ("locate", 1, "done"), ("read", 4, "done"), ("answer", 0, "done")]
+    fixed = C.repair_dangling(m).first().parts
+    assert [p.state for p in fixed] == ["output-available"] * 4 + [None] and fixed[2].output == "[cancelled]" and fixed[2].input == '{"query": "q"}'
+    assert len(C.strip_reasoning(m).collect()[0].parts) == 5
 
 
 def test_claim_and_refs(spark):
@@ -209,19 +212,8 @@ def test_claim_and_refs(spark):
     assert [(r.current_page, r.whole_document, r.factual) for r in flags] == [(True, False, True), (False, True, False)]
 
 
-def test_settle_batch_and_stream(spark, tmp_path):
+def test_settled(spark):
     t = lambda m: dt.datetime(2025, 1, 1, 0, m)
     rows = [("k", t(0), "a", 1), ("k", t(1), "b", 2), ("k", t(20), "b", 3), ("k", t(40), "c", 4)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, v string, n int")
     assert [r.v for r in settle.settled(df, "k", "ts", "v", "n", 600).orderBy("ts").collect()] == ["b", "c"]
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = settle.settled_stream(src, "k", "ts", "v", "10 minutes", "1 minute").writeStream.outputMode("append").format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.v for r in spark.sql("select v from settled order by settled_at").collect()] == ["b", "b"]
-    sink = settle.upsert_sink(str(tmp_path / "out"), ["k"], "n")
-    sink(df.limit(2), 0)
-    sink(df, 1)
-    sink(df, 1)
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()] == ["c"]
