@@ -81,7 +81,8 @@ def cut(c: Column, most: int) -> Column:
 def for_prompt(c: Column, most: int = 200) -> Column:
     """A name that can stand between quotes in a prompt: no control signs, plain quotes, collapsed, cut with an ellipsis."""
     x = F.regexp_replace(c, "[\\x00-\\x1f\\x7f-\\x9f]", " ")
-    return cut(collapse(F.translate(x, "\"“”„‟`", "")), most)
+    quotes = "\"“”„‟`"
+    return cut(collapse(F.translate(x, quotes, "'" * len(quotes))), most)
 
 
 def without_leaked_markup(c: Column) -> Column:

@@ -1,5 +1,5 @@
-"""Plan helpers: lineage cuts, checked broadcasts, session settings."""
+"""Plan helpers: lineage cuts in the shared checkpoint folder."""
 
-from leafmill.plans.lineage import cut, small
+from leafmill.plans.lineage import cut
 
-__all__ = ["cut", "small"]
+__all__ = ["cut"]

@@ -1,5 +1,5 @@
-"""Readers and writers of the tables the operators work on."""
+"""Readers of the tables the operators work on."""
 
-from leafmill.sources.tables import optional_table, table
+from leafmill.sources.tables import table
 
-__all__ = ["optional_table", "table"]
+__all__ = ["table"]

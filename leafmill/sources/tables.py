@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """The table `name` below `data_dir`; columns are pruned and filters pushed by Catalyst."""
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
-
-
-def optional_table(spark: SparkSession, data_dir: str, name: str, schema: str) -> DataFrame:
-    """As `table`, but an empty frame of `schema` where the table does not exist."""
-    try:
-        return table(spark, data_dir, name)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
