@@ -21,6 +21,12 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def has_text(c: Column, least: int = 1) -> Column:
+    """Whether a text has `least` characters between its first and last that are no white space; null counts as empty. Stops at the first that show it, without trimming."""
+    pattern = f"[^{SPACE}]" if least < 2 else f"(?s)[^{SPACE}].{{{least - 2},}}?[^{SPACE}]"
+    return F.coalesce(c.rlike(pattern), F.lit(False))
+
+
 def collapse(c: Column) -> Column:
     """Each run of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import cut, document_kind, safe_link
-from leafmill.operators.pages import MIN_TEXT_CHARS, merge_reload, text_chars
+from leafmill.functions.text import cut, document_kind, has_text, safe_link
+from leafmill.operators.pages import MIN_TEXT_CHARS, merge_reload
 
 MAX_FILE_BYTES = 256 << 20
 LINKS_A_PAGE = 40
@@ -41,7 +41,7 @@ def load(pages: DataFrame, documents: DataFrame, cache: DataFrame) -> DataFrame:
 
 def recognised(pages: DataFrame, read: Callable[[Column], Column], cap: int | None = None) -> DataFrame:
     """Pages with the texts that a reader of images gives for those of fewer than 20 characters, at most `cap` of a path; `read` is a column function of the page's key, as the images are read elsewhere."""
-    need = text_chars() < MIN_TEXT_CHARS
+    need = ~has_text(F.col("text"), MIN_TEXT_CHARS)
     w = Window.partitionBy("path").orderBy("page")
     turn = F.sum(need.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     chosen = need if cap is None else need & (turn <= cap)

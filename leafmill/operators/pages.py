@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_heading, collapse, trim
+from leafmill.functions.text import clean_heading, collapse, has_text, trim
+from leafmill.plans import cut
 
 MIN_TEXT_CHARS = 20
 RASTER_CHARS = 48
@@ -34,20 +35,14 @@ def _picked(rows: DataFrame, winners: DataFrame, order: str) -> DataFrame:
     return rows.join(winners.hint("shuffle_hash"), order, "left_semi")
 
 
-def text_chars(c: str = "text") -> Column:
-    """Trimmed length; 0 for null."""
-    return F.coalesce(F.length(trim(F.col(c))), F.lit(0))
-
-
 def flags(pages: DataFrame) -> DataFrame:
     """Whether each row's text can be indexed, is that of a raster-heavy page, or holds a table; null text is empty."""
-    n = text_chars()
-    return pages.select("row_id", (n >= MIN_TEXT_CHARS).alias("indexable"), (F.coalesce(F.length("text"), F.lit(0)) < RASTER_CHARS).alias("raster_heavy"), F.coalesce(F.contains("text", F.lit("|---")), F.lit(False)).alias("table"))
+    return pages.select("row_id", has_text(F.col("text"), MIN_TEXT_CHARS).alias("indexable"), (F.coalesce(F.length("text"), F.lit(0)) < RASTER_CHARS).alias("raster_heavy"), F.coalesce(F.contains("text", F.lit("|---")), F.lit(False)).alias("table"))
 
 
 def sparse(pages: DataFrame, cap: int | None = SWEEP_CAP) -> DataFrame:
     """The first `cap` pages of each path with fewer than 20 trimmed characters; None is no cap."""
-    few = pages.where(text_chars() < MIN_TEXT_CHARS).select("path", "page")
+    few = pages.where(~has_text(F.col("text"), MIN_TEXT_CHARS)).select("path", "page")
     if cap is None:
         return few
     return few.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy("page"))).where(F.col("rn") <= cap).drop("rn")
@@ -63,7 +58,7 @@ def ranges(rows: DataFrame, key: str = "path", page: str = "page", out: str = "p
 
 def sizes(pages: DataFrame) -> DataFrame:
     """Pages without their texts: chars, sparse and table in place of `text`; null text is empty."""
-    measured = pages.withColumns({"chars": F.coalesce(F.length("text"), F.lit(0)), "sparse": text_chars() < MIN_TEXT_CHARS, "table": F.coalesce(F.contains("text", F.lit("|---")), F.lit(False))})
+    measured = pages.withColumns({"chars": F.coalesce(F.length("text"), F.lit(0)), "sparse": ~has_text(F.col("text"), MIN_TEXT_CHARS), "table": F.coalesce(F.contains("text", F.lit("|---")), F.lit(False))})
     return measured.drop("text")
 
 
@@ -77,8 +72,10 @@ def densest(pages: DataFrame, k: int = DENSEST) -> DataFrame:
 def survey(pages: DataFrame, marked: DataFrame, linked: DataFrame | None = None, figured: DataFrame | None = None) -> DataFrame:
     """Per path: pages, characters, need of chunking, and unindexed, densest, table and marked pages as ranges ('' if none); with `linked` and `figured` (path, page) also those.
 
-    `pages` are those of `sizes`: no text takes part.
+    `pages` are those of `sizes`: no text takes part. They are written once, since three parts of the
+    survey read them.
     """
+    pages = cut(pages)
     base = pages.groupBy("path").agg(F.count("*").alias("total_pages"), F.sum("chars").alias("total_chars"), F.count_if("sparse").alias("unindexed_count"))
     kinds = F.array_compact(F.array(*[F.when(F.col(c), F.lit(k)) for c, k in (("sparse", 0), ("table", 2))]))
     each = pages.select("path", "page", F.explode(kinds).alias("kind")).unionByName(densest(pages).select("path", "page", F.lit(1).alias("kind")))
@@ -101,15 +98,15 @@ def previews(pages: DataFrame, most: int = 200, chars: int = 60) -> DataFrame:
 
 def recovered(pages: DataFrame, fallback: DataFrame) -> DataFrame:
     """Pages whose text is blank get that of the second extraction (path, page, text) if it has any; other pages stay untouched and don't meet it."""
-    blank = pages.where(F.length(trim(F.coalesce("text", F.lit("")))) == 0)
+    blank = pages.where(~has_text(F.col("text")))
     other = fallback.select("path", "page", F.nullif(trim(F.col("text")), F.lit("")).alias("_t"))
     mended = blank.join(other, ["path", "page"], "left").withColumn("text", F.coalesce("_t", "text")).drop("_t")
-    return pages.where(F.length(trim(F.coalesce("text", F.lit("")))) > 0).unionByName(mended)
+    return pages.where(has_text(F.col("text"))).unionByName(mended)
 
 
 def empty_pages(pages: DataFrame) -> DataFrame:
     """path and page of the pages that an export leaves out: those of null or blank text."""
-    return pages.where(F.length(trim(F.coalesce("text", F.lit("")))) == 0).select("path", "page")
+    return pages.where(~has_text(F.col("text"))).select("path", "page")
 
 
 def better_text(a: Column, b: Column, a_source: Column, b_source: Column) -> Column:
@@ -144,33 +141,34 @@ def changed(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["path", "page"], "full_outer").groupBy("path").agg(F.bool_or(~F.col("x").eqNullSafe(F.col("y"))).alias("changed"))
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    live = F.filter(F.split("text", "\n"), lambda x: F.length(trim(x)) > 0)
-    return pages.select("path", "page", "text", live.alias("live")).where(F.size("live") >= 3)
+def _edges(pages: DataFrame) -> DataFrame:
+    """path, page, pos (first, last) and key of the lines that may run: of pages with three live lines, no headings or table rows, keys of 1 to 80 characters."""
+    live = F.filter(F.split("text", "\n"), lambda x: has_text(x))
+    lines = pages.select("path", "page", live.alias("live")).where(F.size("live") >= 3)
+    edges = lines.select("path", "page", F.explode(F.array(F.struct(F.lit("first").alias("pos"), F.element_at("live", 1).alias("line")), F.struct(F.lit("last").alias("pos"), F.element_at("live", -1).alias("line")))).alias("e"))
+    key = F.lower(clean_heading(F.col("e.line")))
+    return edges.where(~F.col("e.line").rlike(r"^[ \t]*[#|]")).select("path", "page", "e.pos", key.alias("key")).where(F.length("key").between(1, RUNNING_MAX_CHARS))
+
+
+def _running(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("path", "pos", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= RUNNING_MIN_PAGES)
 
 
 def running_keys(pages: DataFrame) -> DataFrame:
     """path, position (first, last), key and pages of lines that open or close three pages of a path or more."""
-    edges = _lines(pages).select("path", "page", F.explode(F.array(F.struct(F.lit("first").alias("pos"), F.element_at("live", 1).alias("line")), F.struct(F.lit("last").alias("pos"), F.element_at("live", -1).alias("line")))).alias("e"))
-    key = F.lower(clean_heading(F.col("e.line")))
-    ok = edges.where(~F.col("e.line").rlike(r"^[ \t]*[#|]")).select("path", "e.pos", key.alias("key")).where((F.length("key") > 0) & (F.length("key") <= RUNNING_MAX_CHARS))
-    return ok.groupBy("path", "pos", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= RUNNING_MIN_PAGES)
+    return _running(_edges(pages))
 
 
 def strip_running(pages: DataFrame) -> DataFrame:
     """path, page, text without running first and last lines; other pages keep their text untouched.
 
-    Pages meet the running keys by path, position and key, and without their texts; only pages that
-    lose a line are then rewritten.
+    The edges of all pages, without their texts, are written once; running ones are joined back by
+    path, position and key, and only pages that lose a line are then rewritten.
     """
-    first, last = F.element_at("at", 1), F.element_at("at", -1)
+    edges = cut(_edges(pages))
+    lost = edges.join(_running(edges).select("path", "pos", "key"), ["path", "pos", "key"]).groupBy("path", "page").agg(F.bool_or(F.col("pos") == "first").alias("h"), F.bool_or(F.col("pos") == "last").alias("f"))
     lines = F.split("text", "\n")
-    where = F.filter(F.transform(F.col("lines"), lambda x, i: F.when(F.length(trim(x)) > 0, i)), lambda i: i.isNotNull())
-    cut = pages.select("path", "page", "text", lines.alias("lines")).withColumn("at", where)
-    key = lambda i: F.when((F.size("at") >= 3) & ~F.element_at("lines", (i + 1).cast("int")).rlike(r"^[ \t]*[#|]"), F.lower(clean_heading(F.element_at("lines", (i + 1).cast("int")))))
-    edges = F.explode(F.array(F.struct(F.lit("first").alias("pos"), key(first).alias("key")), F.struct(F.lit("last").alias("pos"), key(last).alias("key"))))
-    met = cut.select("path", "page", edges.alias("e")).select("path", "page", "e.*").where("key is not null").join(running_keys(pages).select("path", "pos", "key"), ["path", "pos", "key"])
-    lost = met.groupBy("path", "page").agg(F.bool_or(F.col("pos") == "first").alias("h"), F.bool_or(F.col("pos") == "last").alias("f"))
-    kept = F.filter("lines", lambda x, i: ~((F.col("h") & (i == first)) | (F.col("f") & (i == last))))
-    marked = cut.join(lost, ["path", "page"], "left")
-    return marked.select("path", "page", F.when(F.col("h").isNotNull(), trim(F.array_join(kept, "\n"))).otherwise(F.col("text")).alias("text"))
+    where = F.filter(F.transform(lines, lambda x, i: F.when(has_text(x), i)), lambda i: i.isNotNull())
+    both = pages.join(lost, ["path", "page"], "left")
+    kept = F.transform(F.array(where), lambda at: F.filter(lines, lambda x, i: ~((F.col("h") & (i == F.element_at(at, 1))) | (F.col("f") & (i == F.element_at(at, -1))))))[0]
+    return both.select("path", "page", F.when(F.col("h").isNotNull(), trim(F.array_join(kept, "\n"))).otherwise(F.col("text")).alias("text"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import trim
-from leafmill.operators.pages import ranges
+from leafmill.functions.text import has_text
+from leafmill.operators.pages import MIN_TEXT_CHARS, ranges
 
 RANGE_CHARS = 6000
 RUN_CHARS = 200_000
@@ -38,7 +38,7 @@ def read_ranges(pages: DataFrame, asked: DataFrame, max_chars: int = RANGE_CHARS
     texts are fetched for the pages that fit.
     """
     n = F.coalesce(F.length("text"), F.lit(0))
-    blank = F.length(trim(F.coalesce("text", F.lit("")))) < 20
+    blank = ~has_text(F.col("text"), MIN_TEXT_CHARS)
     rows = pages.select("path", "page", n.alias("n"), blank.alias("blank")).join(asked, "path").where(F.col("page").between(F.col("first_page"), F.col("last_page")))
     if delivered is None:
         rows = rows.withColumn("known", F.lit(False))

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import collapse, cut, document_kind, nfc, trim
+from leafmill.functions.text import collapse, cut, document_kind, has_text, nfc, trim
 
 FINDING_PAGES, CLAIM_CHARS, EVIDENCE_CHARS = 20, 500, 1000
 MARK_TEXT, MARK_NOTE, MARKS_PER_DOC = 500, 2000, 2000
@@ -179,7 +179,7 @@ def export_blocks(pages: DataFrame, documents: DataFrame | None = None, marks: D
     One row a block, so no document is ever one value; `documents` (path, name, title) gives the headings.
     """
     body = F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n\n"), trim(F.col("text")))
-    out = pages.where(F.length(trim(F.col("text"))) > 0).select("path", F.struct(F.lit(2).alias("a"), F.col("page").cast("bigint").alias("b")).alias("o"), body.alias("block"))
+    out = pages.where(has_text(F.col("text"))).select("path", F.struct(F.lit(2).alias("a"), F.col("page").cast("bigint").alias("b")).alias("o"), body.alias("block"))
     if documents is not None:
         title = F.nullif(trim(F.coalesce("title", F.lit(""))), F.lit(""))
         head = F.concat(F.lit("# "), F.coalesce(title, F.col("name")), F.when(title != F.col("name"), F.concat(F.lit("\n\n**Source:** "), "name")).otherwise(""))

@@ -50,10 +50,10 @@ def _ranges(source: str, page: str, out: str) -> str:
 SELECT path, min(p) AS a, max(p) AS b FROM (SELECT path, p, p - row_number() OVER (PARTITION BY path ORDER BY p) AS g FROM (SELECT DISTINCT path, {page} AS p FROM {source} WHERE {page} IS NOT NULL)) GROUP BY path, g) GROUP BY path"""
 
 
-def current(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
-    """The latest extraction of each page, with the columns asked for."""
+def current(spark: SparkSession, d: str, columns: list[str] | None = None, where: str = "true") -> DataFrame:
+    """The latest extraction of each page, with the columns asked for; `where` is on path and page alone, so it holds before the latest are picked."""
     cols = columns or ["text", "source"]
-    return P.latest(table(spark, d, "pages").select("path", "page", "row_id", *cols), ["path", "page"], "row_id").drop("row_id")
+    return P.latest(table(spark, d, "pages").where(where).select("path", "page", "row_id", *cols), ["path", "page"], "row_id").drop("row_id")
 
 
 def sized(spark: SparkSession, d: str) -> DataFrame:
@@ -282,26 +282,34 @@ def _all_paths(a: int, b: int, o: int = 0) -> str:
     return f"SELECT DISTINCT path, {a} AS a, {b} AS b, {o} AS o FROM cp WHERE path IS NOT NULL"
 
 
+def _asked(spark: SparkSession, d: str, a: int, b: int, offset: int = 0) -> DataFrame:
+    """The same range asked of every path."""
+    paths = table(spark, d, "pages").select("path").where("path is not null").distinct()
+    return paths.select("path", F.lit(a).alias("first_page"), F.lit(b).alias("last_page"), F.lit(offset).alias("offset"))
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("pages", F.array_join("pages", ","))
 
 
 @register("read_range_budget", f"WITH {CP}, {_read(_all_paths(1, 6), 3000)} SELECT * FROM res")
 def read_range_budget(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(R.read_range(current(spark, d, ["text"]), 1, 6, 3000))
+    pages = current(spark, d, ["text"], "page between 1 and 6")
+    return _shown(R.read_ranges(pages, _asked(spark, d, 1, 6), 3000))
 
 
 @register("read_range_resume", f"WITH {CP}, {_read(_all_paths(2, 9, 700), 4000, used=1000, budget=4500)} SELECT * FROM res")
 def read_range_resume(spark: SparkSession, d: str) -> DataFrame:
-    """Pages 2 to 9 from an offset, with part of the run's budget spent; the bounds come inverted."""
-    return _shown(R.read_ranges(current(spark, d, ["text"]), current(spark, d, ["row_id"]).select("path").where("path is not null").distinct().select("path", F.lit(2).alias("first_page"), F.lit(9).alias("last_page"), F.lit(700).alias("offset")), 4000, used=1000, budget=4500))
+    """Pages 2 to 9 from an offset, with part of the run's budget spent."""
+    return _shown(R.read_ranges(current(spark, d, ["text"], "page between 2 and 9"), _asked(spark, d, 2, 9, 700), 4000, used=1000, budget=4500))
 
 
 @register("read_range_delivered", f"WITH {CP}, {_read(_all_paths(1, 8), 5000, 'page % 3 = 1', scans=1)} SELECT * FROM res")
 def read_range_delivered(spark: SparkSession, d: str) -> DataFrame:
     """Every third page was delivered before, and one page may be scanned."""
-    pages = current(spark, d, ["text"])
-    return _shown(R.read_range(pages, 1, 8, 5000, delivered=sized(spark, d).where("page % 3 = 1").select("path", "page"), scans=1))
+    pages = current(spark, d, ["text"], "page between 1 and 8")
+    known = table(spark, d, "pages").where("page % 3 = 1 and page <= 8").select("path", "page").distinct()
+    return _shown(R.read_ranges(pages, _asked(spark, d, 1, 8), 5000, delivered=known, scans=1))
 
 
 @register("read_section", f"""WITH {CP}, {_TOT}, {_USE}, e AS (SELECT *, (SELECT arg_min(b.page, b.ord) FROM us b WHERE b.path = a.path AND b.ord > a.ord AND b.level <= a.level) AS nxt FROM us a),
