@@ -146,13 +146,15 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts on end, and the offsets of the texts; numbers keep their own hashes."""
     if len(_hashes) > 1 << 20:
         _hashes.clear()
-    flat, at = [], [0]
+    flat, at, have = [], [0], _hashes.get
     for t in texts:
-        for w in _WORDS.findall(t.lower()):
-            h = _hashes.get(w)
-            if h is None:
-                h = _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-            flat.append(h)
+        words = _WORDS.findall(t.lower())
+        hashes = list(map(have, words))
+        if None in hashes:
+            for i, h in enumerate(hashes):
+                if h is None:
+                    hashes[i] = _hashes[words[i]] = xxhash.xxh64_intdigest(words[i].encode("utf-8", "replace"))
+        flat += hashes
         at.append(len(flat))
     return np.array(flat, np.uint64), np.array(at, np.int64)
 
@@ -253,7 +255,8 @@ def _sparse(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g = _mix(*[h[i : len(h) - size + 1 + i] for i in range(size)])[ok]
         r, t = row[: len(row) - size + 1][ok], tail[: len(row) - size + 1][ok]
         keys += [r * HASH + _bucket(g), r[t] * HASH + _bucket(g[t] * _MIX[2] ^ _MIX[3])]
-    key = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]))
+    key = np.sort(np.concatenate([*keys, np.zeros(0, np.int64)]))
+    key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
     return key % HASH, np.searchsorted(key, np.arange(n + 1) * HASH)
 
 
