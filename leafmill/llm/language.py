@@ -302,6 +302,22 @@ def chain(lp: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def _quotes(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """1 where a quotation opens and -1 where it closes, in the signs of the six languages: “ ”, « », „ “ and 「 」."""
+    out = np.isin(cp, (0x201C, 0xAB, 0x300C)).astype(np.int8) - np.isin(cp, (0x201D, 0xBB, 0x300D))
+    low = np.flatnonzero(cp == 0x201E)
+    if len(low):
+        # What opens below closes with the next sign above of the same text, whichever way it turns.
+        close = np.flatnonzero((cp == 0x201C) | (cp == 0x201D))
+        k = np.searchsorted(close, low)
+        end = at[np.searchsorted(at, low, "right")]
+        ok = k < len(close)
+        ok[ok] = close[k[ok]] < end[ok]
+        out[low[ok]] = 1
+        out[close[k[ok]]] = -1
+    return out
+
+
 SEGMENTS = "seg int, start int, `end` int, lang string, confidence double"
 
 
@@ -318,7 +334,7 @@ def segment_batch(model: Model, cp: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     sent = np.searchsorted(start, ts, "right") - 1
     # Quoted words, foreign names and titles, don't speak for the sentence around them.
     quote = np.zeros(len(cp) + 1, np.int64)
-    np.cumsum((cp == 0x201C).astype(np.int8) - (cp == 0x201D), out=quote[1:])
+    np.cumsum(_quotes(cp, at), out=quote[1:])
     base = quote[start][sent]
     quoted = quote[ts] > base
     share = np.bincount(sent, quoted * (te - ts), len(start)) / np.maximum(np.bincount(sent, te - ts, len(start)), 1)

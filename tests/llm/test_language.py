@@ -58,3 +58,21 @@ def test_found(spark, samples):
     assert {x for x in got if x[0] < 8} == {(4, 0, "de"), (5, 0, "fr")}
     assert {x for x in got if x[0] == 8 and x[1]} == {(8, 1, "de"), (8, 2, "fr")}
     assert L.found(pages.limit(0), s).count() == 0
+
+
+def test_quotations_of_all_languages():
+    """Words between the quotation marks of any of the languages don't speak for the sentence around them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from leafmill.llm import language as N
+    from leafmill.llm.codepoints import to_codepoints
+
+    texts = ["a “b” c", "a « b » c", "a „b“ c „d” e", "a 「b」 c", "„ open", "b“ c"]
+    cp, at = to_codepoints(pa.array(texts))
+    q = N._quotes(cp, at)
+    for i, t in enumerate(texts[:4]):
+        depth = np.cumsum(q[at[i] : at[i + 1]])
+        assert [int(depth[k]) for k, c in enumerate(t) if c in "bd"] == [1] * sum(c in "bd" for c in t) and depth[-1] == 0
+        assert all(depth[k] == 0 for k, c in enumerate(t) if c in "ace")
+    assert q[at[4]] == 0
