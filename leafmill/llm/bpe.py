@@ -20,10 +20,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from leafmill.llm.codepoints import slices, text_bytes
+from leafmill.llm.codepoints import from_codepoints, slices, text_bytes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -306,9 +307,14 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         if len(self.fst.key) > MAX_STATES:
             self.fst = Transducer(self.fst.ranks)
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            raw, at = mended_bytes(raw, at)
+            text = raw.decode("utf-8")
         data = np.frombuffer(raw, np.uint8)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
-        cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         plain = len(cp) == len(data)
         row = at if plain else np.searchsorted(lead, at)
         start = words(cp, row)
@@ -392,6 +398,38 @@ class Utf8Stream:
         return rest
 
 
+def mended_bytes(raw: bytes, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes and offsets of rows of text with broken bytes made U+FFFD."""
+    rows = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return b"".join(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
+def utf8_decoded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and offsets of rows of bytes, as `Utf8Stream` gives them, all states of the machine at once."""
+    n = len(data)
+    follows = (data & 0xC0) == 0x80
+    need = np.select([data < 0x80, (data >= 0xC2) & (data < 0xE0), (data >= 0xE0) & (data < 0xF0), (data >= 0xF0) & (data < 0xF5)], [0, 1, 2, 3], -1)
+    heads = np.flatnonzero(~follows)
+    # What may follow a head ends before the next head and before the next row.
+    stop = np.minimum(np.append(heads[1:], n), at[np.searchsorted(at, heads, "right")]) if len(heads) else heads
+    want = need[heads]
+    have = np.minimum(np.maximum(want, 0), stop - heads - 1)
+    value = np.where(want == 0, data[heads], data[heads] & (0x3F >> np.maximum(want, 0))).astype(np.int64)
+    taken = np.zeros(n, bool)
+    for k in (1, 2, 3):
+        some = have >= k
+        place = heads[some] + k
+        value[some] = value[some] << 6 | data[place] & 0x3F
+        taken[place] = True
+    least = np.array([0, 0x80, 0x800, 0x10000])[np.maximum(want, 0)]
+    bad = (want < 0) | (have < want) | (value < least) | ((value >= 0xD800) & (value < 0xE000)) | (value > 0x10FFFF)
+    out = np.full(n, 0xFFFD, np.int64)
+    out[heads] = np.where(bad, 0xFFFD, value)
+    kept = ~taken
+    count = np.concatenate([[0], np.cumsum(kept)])
+    return out[kept].astype(np.uint32), count[at]
+
+
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None = None) -> DataFrame:
     """`df` without `ids`, with the decoded text in column `out`: the streaming inverse of `encode`.
 
@@ -402,16 +440,23 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str | None
     df = df.select(*rest, ids)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != ids] + [f"`{out}` string"])
 
-    def text_of(row: list[int] | None, token: dict[int, bytes]) -> str | None:
-        if row is None:
-            return None
-        stream = Utf8Stream()
-        return "".join(stream.feed(token.get(i, b"\xff")) for i in row) + stream.close()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = encoder(path).fst.token
+        # Unknown ids stand for a byte that begins nothing.
+        most = max(token, default=0) + 1
+        words = [token.get(i, b"\xff") for i in range(most)] + [b"\xff"]
+        pool = np.frombuffer(b"".join(words), np.uint8)
+        edge = np.concatenate([[0], np.cumsum([len(w) for w in words])])
         for batch in batches:
-            made = pa.array([text_of(r, token) for r in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+            col = batch.column(batch.num_columns - 1)
+            flat = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            per_row = np.asarray(pc.list_value_length(col).fill_null(0)).astype(np.int64)
+            i = np.where((flat >= 0) & (flat < most), flat, most)
+            size = edge[i + 1] - edge[i]
+            total = np.concatenate([[0], np.cumsum(size)])
+            data = pool[np.repeat(edge[i] - total[:-1], size) + np.arange(total[-1])]
+            cp, at = utf8_decoded(data, total[np.concatenate([[0], np.cumsum(per_row)])])
+            made = from_codepoints(cp, at, np.asarray(pc.is_valid(col)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*rest, out])
 
     return df.mapInArrow(run, schema)
