@@ -69,3 +69,15 @@ def labels(totals: DataFrame) -> DataFrame:
 def most_steps(pages, floor: int = 20, ceiling: int = 30):
     """Column: the steps a run on a document of so many pages may take."""
     return F.least(F.lit(ceiling), F.greatest(F.lit(floor), F.coalesce(pages, F.lit(0))))
+
+
+def reasoning_effort(configured, has_material):
+    """Column: the effort of a step: none where none is configured, low while there is nothing to reason on, else as configured."""
+    return F.when(configured.isNull(), F.lit(None)).when(~has_material, "low").otherwise(configured)
+
+
+def queue_order(jobs: DataFrame) -> DataFrame:
+    """Adds ord to queued jobs (queue, at, priority): high ones first, the newest of them in front, others in the order they came."""
+    high = F.coalesce(F.col("priority") == "high", F.lit(False))
+    w = Window.partitionBy("queue").orderBy(F.desc(high), F.when(high, -F.col("at")).otherwise(F.col("at")))
+    return jobs.withColumn("ord", F.row_number().over(w))

@@ -490,3 +490,10 @@ def test_boxes(spark):
     boxes = spark.createDataFrame([("s", i, rect(0, 0, i, 9), rect(1, 1, 1, 1)) for i in range(4)] + [("t", 0, rect(0, 0, 1, 1), rect(2, 2, 2, 2))], f"selection string, ord int, rect {RECT}, bound {RECT}")
     got = [(r.selection, r.rect.width) for r in G.line_boxes(boxes).orderBy("selection", "ord").collect()]
     assert got == [("s", 2.0), ("s", 3.0), ("t", 2.0)]
+
+
+def test_effort_and_queue(spark):
+    rows = spark.createDataFrame([(None, True), ("high", False), ("high", True)], "c string, m boolean")
+    assert [r.x for r in rows.select(U.reasoning_effort(F.col("c"), F.col("m")).alias("x")).collect()] == [None, "low", "high"]
+    jobs = spark.createDataFrame([("q", 1, "low"), ("q", 2, "high"), ("q", 3, None), ("q", 4, "high")], "queue string, at int, priority string")
+    assert [r["at"] for r in U.queue_order(jobs).orderBy("ord").collect()] == [4, 2, 1, 3]
