@@ -43,3 +43,21 @@ def test_frame(spark):
     assert sum(r.row_id == 4 and r.piece == 1 for r in out) == 2
     assert {(r.row_id, r.cut) for r in out} == {(4, "forced"), (5, "natural")}
     assert C.split_oversized(df.limit(0)).count() == 0
+
+
+def test_real_pages():
+    """On real long pages: pieces within bounds that overlap and give back the text; an edit in the middle moves two cuts at most, mostly none."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet", columns=["text"]).text.dropna()
+    long = [t for t in pages if len(t) > C.MAX_CHARS]
+    assert len(long) > 20
+    moved = []
+    for t in long:
+        pieces, _ = C.cuts(points(t))
+        assert all(b - a <= C.MAX_CHARS for a, b, _ in pieces)
+        assert "".join(t[a + C.OVERLAP * (i > 0) : b] for i, (a, b, _) in enumerate(pieces)) == t
+        k = len(t) // 2
+        after = {e if e <= k else e - 9 for _, e, _ in C.cuts(points(t[:k] + "inserted " + t[k:]))[0]}
+        moved.append(len({e for _, e, _ in pieces} - after))
+    assert max(moved) <= 2 and np.mean(np.array(moved) == 0) > 0.7
