@@ -26,7 +26,7 @@ LOOKALIKES = dict(
         strict=True,
     )
 )
-LOOKALIKES |= dict(zip("Ɩɑɡᴏᴠᴡᴢνѵѡԍ", "laGovwzvvwG".replace("G", "g", 1), strict=True))
+LOOKALIKES |= dict(zip("Ɩɑɡᴏᴠᴡᴢνѵѡԍ", "lagovwzvvwG", strict=True))
 
 #: Default-ignorable code points that are not of category Cf.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -244,14 +244,14 @@ def rows_of(pages: DataFrame, marks: DataFrame) -> DataFrame:
 def found(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs of rows of one kind, path and page whose texts differ but have the same form.
 
-    Texts travel as hashes: 128 bits of the form, 64 of the raw text. Rows with null path or page
+    Texts travel as hashes: 128 bits of the form and 128 of the raw text, of two seeds each. Rows with null path or page
     pair with none; rows blank in their canonical form are left out.
     """
     forms = canonical_form(rows_of(pages, marks).where(F.col("text").isNotNull() & F.col("path").isNotNull() & F.col("page").isNotNull()))
     keyed = forms.where(F.col("canonical").rlike(r"[^\s]")).select(
-        "kind", "path", "page", "row_id", F.xxhash64("canonical").alias("f"), F.xxhash64("canonical", F.lit(1)).alias("g"), F.xxhash64("text").alias("raw")
+        "kind", "path", "page", "row_id", *[h.alias(n) for n, h in (("f", F.xxhash64("canonical")), ("g", F.xxhash64(F.lit(1), "canonical")), ("raw", F.xxhash64("text")), ("more", F.xxhash64(F.lit(1), "text")))]
     )
     key = ["kind", "path", "page", "f", "g"]
-    a = keyed.withColumnsRenamed({"row_id": "row_a", "raw": "raw_a"})
-    b = keyed.withColumnsRenamed({"row_id": "row_b", "raw": "raw_b"})
-    return a.join(b, key).where("row_a < row_b and raw_a <> raw_b").select("kind", "row_a", "row_b")
+    a = keyed.withColumnsRenamed({"row_id": "row_a", "raw": "raw_a", "more": "more_a"})
+    b = keyed.withColumnsRenamed({"row_id": "row_b", "raw": "raw_b", "more": "more_b"})
+    return a.join(b, key).where("row_a < row_b and (raw_a <> raw_b or more_a <> more_b)").select("kind", "row_a", "row_b")
