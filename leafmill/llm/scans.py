@@ -557,17 +557,6 @@ def is_noise(x: np.ndarray, hyphen: boosting.Boosted | None) -> np.ndarray:
     return noise & ~((x[:, 16] > 0) & (x[:, 11] == 0) & (x[:, 10] == 1))
 
 
-def made_whole(text: str, noisy: set[str]) -> str:
-    """The text with its broken words on one line, without the sign where their key is among `noisy`."""
-    parts, at = [], 0
-    for m in broken_at(text):
-        start, end, left, _, right = m
-        parts.append(text[at : max(at, start)])
-        parts.append(f"{left}{right}" if _broken_key(m, text) in noisy else f"{left}-{right}")
-        at = end
-    return "".join([*parts, text[at:]])
-
-
 Edge = tuple[str, str, int, list[float] | None]
 
 
@@ -579,29 +568,34 @@ class Reader:
     goes_on: boosting.Boosted | None
 
     def repaired(self, text: str, page: int | None, fixes: dict[str, str], runs: set[str], noisy: set[str]) -> str:
-        """The text as paragraphs: page number and running lines out, words made whole and right, lines that go on joined."""
+        """The text as paragraphs: page number and running lines out, words made whole (without the sign where their key is among `noisy`) and right, lines that go on joined. Lines are judged as they stand, before words move over."""
         number, _, edges = self.edges(text, page)
         out = {number} | {i for where, key, i, _ in edges if f"{where}:{key}" in runs}
-        lines = [x for i, x in enumerate(text.split("\n")) if i not in out]
+        raw = [x for i, x in enumerate(text.split("\n")) if i not in out]
+        lines = [x.strip() for x in raw]
         width = max((len(x) for x in lines), default=0)
-        text = made_whole("\n".join(lines), noisy)
-        if fixes:
-            text = _WORD.sub(lambda m: _like(m[0], fixes[m[0].lower()]) if m[0].lower() in fixes else m[0], text)
-        lines = [x.strip() for x in text.strip().split("\n")]
         pairs = [i for i in range(len(lines) - 1) if lines[i] and lines[i + 1] and lines[i][:1] not in "#|" and lines[i + 1][:1] not in "#|"]
-        on: set[int] = set()
+        on: list[int] = []
         if pairs and self.goes_on is not None:
-            # Lines made longer by a mended word count as full ones.
-            score = self.goes_on.score(np.array([pair_features(lines[i][-width:], lines[i + 1][:width], False, {}, width) for i in pairs]))
-            on = {i for i, x in zip(pairs, score, strict=True) if x > 0}
-        parts = [lines[0]]
-        for i in range(len(lines) - 1):
-            if i not in on:
-                parts.append("\n")
-            elif not ("㐀" <= lines[i][-1:] and "㐀" <= lines[i + 1][:1]):
-                parts.append(" ")
-            parts.append(lines[i + 1])
-        return re.sub(r"\n{3,}", "\n\n", "".join(parts)).strip()
+            score = self.goes_on.score(np.array([pair_features(lines[i], lines[i + 1], False, {}, width) for i in pairs]))
+            on = [i for i, x in zip(pairs, score, strict=True) if x > 0]
+        text = "\n".join(raw)
+        edits = [(m[0], m[1], f"{m[2]}{m[4]}" if _broken_key(m, text) in noisy else f"{m[2]}-{m[4]}") for m in broken_at(text)]
+        feed = np.cumsum([len(x) + 1 for x in raw]) - 1
+        broken = {i for start, end, _ in edits for i in range(int(np.searchsorted(feed, start)), int(np.searchsorted(feed, end)))}
+        for i in on:
+            if i not in broken:
+                chinese = "㐀" <= lines[i][-1:] and "㐀" <= lines[i + 1][:1]
+                edits.append((int(feed[i]) - len(raw[i]) + len(raw[i].rstrip()), int(feed[i]) + 1 + len(raw[i + 1]) - len(raw[i + 1].lstrip()), "" if chinese else " "))
+        parts, at = [], 0
+        for start, end, to in sorted(edits):
+            parts.append(text[at : max(at, start)])
+            parts.append(to)
+            at = max(at, end)
+        text = "".join([*parts, text[at:]])
+        if fixes:
+            text = _WORD.sub(lambda m: _like(m[0], fixes[m[0].lower()]) if m[0].lower() in fixes else m[0], text)
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip() for x in text.split("\n"))).strip()
 
     def edges(self, text: str, page: int | None) -> tuple[int | None, bool, list[Edge]]:
         """Index of the line with the page's number, whether it is misread, and the (position, key, line, features) that may be running lines: with features, unless the trees say that the line goes on."""

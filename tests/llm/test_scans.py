@@ -135,3 +135,47 @@ def test_no_candidate_is_cut(spark):
 def test_most_frequent_is_never_empty(spark):
     df = spark.createDataFrame([(f"w{i}", 5) for i in range(4000)], "word string, n long")
     assert 500 < len(S.most_frequent(df, 1000)) < 1500 and S.most_frequent(df.limit(0)) == {}
+
+
+def test_repair_gives_back_paragraphs(spark):
+    """Clean paragraphs set as scanned pages (wrapped, hyphenated, misread, with header and number): the repair gives most of them back as they were."""
+    import difflib
+
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    samples = pd.read_parquet("/root/testdata/sf0.01/lang_samples.parquet")
+    texts = [t for t in samples[samples.lang != "zh"].text if len(t) > 80 and "\n" not in t]
+    rows, want, n = [], {}, 0
+    for path in range(8):
+        for page in range(1, 26):
+            n += 1
+            paras = [" ".join(str(texts[int(i)]) for i in rng.integers(len(texts), size=2)) for _ in range(2)]
+            want[n] = "\n\n".join(paras)
+            set_ = []
+            for p in paras:
+                line = ""
+                for w in p.split(" "):
+                    if len(line) + len(w) + 1 > 62:
+                        k = min(60 - len(line), len(w) - 3)
+                        if w.isalpha() and len(w) > 7 and k > 2 and rng.random() < 0.5:
+                            set_.append(f"{line} {w[:k]}-".strip())
+                            line = w[k:]
+                            continue
+                        set_.append(line)
+                        line = w
+                    else:
+                        line = f"{line} {w}".strip()
+                set_ += [line, ""]
+            body = "\n".join(set_).strip()
+            if page % 3 == 0 and "m" in body:
+                i = body.index("m", 30)
+                body = f"{body[:i]}rn{body[i + 1 :]}"
+            rows.append((n, f"s{path}", page, f"Harbour Records {'ABCDEFGH'[path] * 3}\n{body}\n- {page} -"))
+    clean = [(10_000 + i, f"c{i % 9}", i, " ".join(str(texts[int(k)]) for k in rng.integers(len(texts), size=5))) for i in range(400)]
+    df = spark.createDataFrame(rows + clean, "row_id long, path string, page int, text string")
+    got = {r.row_id: r.text for r in S.repair(df).collect()}
+    same = np.array([difflib.SequenceMatcher(None, got[i].split(), want[i].split(), autojunk=False).ratio() for i in want])
+    whole = np.array([got[i] == want[i] for i in want])
+    print("words given back", same.mean(), "pages whole", whole.mean(), "left", [got[i][:60] for i in want if "Harbour Records" in got[i]][:4])
+    assert same.mean() > 0.99 and whole.mean() > 0.5 and not any("Harbour Records" in got[i] for i in want)
