@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -742,6 +742,27 @@ def most_frequent(words: DataFrame, most: int = COMMON_WORDS) -> dict[str, int]:
     return {r.word: int(r.n) for r in words.where((step > cutoff) | ((step == cutoff) & some)).collect()}
 
 
+_models: dict[bytes, object] = {}
+
+
+def _kept(inputs: tuple, train: Callable[[], tuple]) -> tuple:
+    """What `train` makes of these inputs, kept by the driver for the next query on the same ones."""
+    h = xxhash.xxh3_128()
+    for part in inputs:
+        h.update(repr(sorted(part.items()) if isinstance(part, dict) else part).encode("utf-8", "replace"))
+    key = h.digest()
+    if key not in _models:
+        while len(_models) > 5:
+            _models.pop(next(iter(_models)))
+        _models[key] = train()
+    return _models[key]
+
+
+def _ranker_of(counted: dict[str, int]) -> tuple[Characters, boosting.Boosted | None]:
+    chars = Characters({w: n for w, n in counted.items() if not any(c.isdigit() for c in w) and n > 1} or counted)
+    return chars, train_ranker(counted, chars)
+
+
 @dataclass
 class Studied:
     reader: Reader
@@ -754,8 +775,7 @@ def study(pages: DataFrame) -> Studied:
     counts = cut(lexicon(pages))
     words, broken = counts.where("not broken").select("word", "n"), counts.where("broken").select(F.col("word").alias("key"))
     counted = most_frequent(words)
-    chars = Characters({w: n for w, n in counted.items() if not any(c.isdigit() for c in w) and n > 1} or counted)
-    ranker = train_ranker(counted, chars)
+    chars, ranker = _kept(("words", counted), lambda: _ranker_of(counted))
     # Words that were only seen broken may be mistakes, too.
     part = F.split("key", "\t")
     whole = broken.select(F.lower(F.concat(part[0], part[2])).alias("word")).where("length(word) between 2 and 40").distinct()
@@ -768,7 +788,8 @@ def study(pages: DataFrame) -> Studied:
     every = max(1, -(-n_pages // TRAIN_PAGES))
     drawn = pages.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("row_id"), F.lit(every)) == 0)).select("text", F.xxhash64("row_id", "text").alias("h"))
     sample = drawn.orderBy("h").limit(TRAIN_PAGES).collect()
-    goes_on, hyphen = train_pairs(plain_texts(pa.array([r.text for r in sample], pa.string())), common)
+    texts = plain_texts(pa.array([r.text for r in sample], pa.string()))
+    goes_on, hyphen = _kept(("lines", common, texts), lambda: train_pairs(texts, common))
     right = words.where("n > 1").join(fixes.select("word"), "word", "left_anti")
     # A broken word that is misread counts as what it was.
     mended = fixes.select("word", F.col("fix").alias("_fix")).join(words.select(F.col("word").alias("_fix"), "n"), "_fix").select("word", "n")
